@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphora.llm import simhash
+from glyphora.llm import bins, simhash, tokens
 from glyphora.llm._common import table
 
 
@@ -16,9 +16,28 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    end = 50256  # the free id of this vocabulary
+    return tokens.packed_rows(table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bins.pack(table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_neardup": op1_simhash_neardup,
+        "op2_token_rows": op2_token_rows,
+        "op5_best_fit_packing": op5_best_fit_packing,
     }
 
 
