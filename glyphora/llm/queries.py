@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphora.llm import bins, simhash, tokens
+from glyphora.llm import bins, simhash, substring, tokens
 from glyphora.llm._common import table
 
 
@@ -29,6 +29,33 @@ def op2_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.packed_rows(table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP4_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS words
+  FROM documents
+), places AS (
+  SELECT r, unnest(range(1, len(words) - 33)) AS p FROM w WHERE len(words) >= 35
+), windows AS (
+  SELECT r, p, array_to_string(words[p:p + 34], ' ') AS s FROM places JOIN w USING (r)
+), again AS (
+  SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY s) AS n FROM windows) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(p, p + 35)) AS k FROM again
+), lost AS (
+  SELECT r, count(*) AS n, list(k) AS ks FROM gone GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE
+         [words[k] FOR k IN range(1, len(words) + 1) IF NOT list_contains(ks, k)] END, ' ')) AS kept_sha256
+FROM w LEFT JOIN lost USING (r)
+"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.pack(table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"))
 
@@ -37,9 +64,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_neardup": op1_simhash_neardup,
         "op2_token_rows": op2_token_rows,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_substring_dedup": OP4_SQL}
