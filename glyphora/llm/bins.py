@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphora.llm._common import keyed, text_steps, texts_of, written
+from glyphora.llm._common import keyed, text_steps, written
 from glyphora.llm.tokens import best_fit_decreasing, tokenizer
 
 CAPACITY = 4096
 #: Pieces that one partition of the lowest level packs, and partitions that a node of the tree merges.
 LEAF, FAN = 100_000, 8
+#: Bytes of text that are encoded at once.
+STEP = 12 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,10 +36,12 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in text_steps(batch, "text"):
+            for part in text_steps(batch, "text", STEP):
                 cols: list[list] = [[], [], [], [], [], []]
-                for doc, th, raw in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), encode(texts_of(part)), strict=True):
-                    raw += end
+                ids, at = encode(part.column("text"))
+                data = ids.tobytes()
+                for doc, th, b, e in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    raw = data[4 * b : 4 * e] + end
                     for k, s in enumerate(range(0, len(raw), 4 * capacity)):
                         x = raw[s : s + 4 * capacity]
                         for to, v in zip(cols, (doc, k, s // 4, len(x) // 4, zlib.crc32(x), th), strict=True):

@@ -5,62 +5,111 @@ Tokenizer files are read where the code runs; their path is a parameter.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphora.llm._common import text_steps, texts_of
+from glyphora.llm._common import text_steps
 
 #: Bytes of words and ids, with their objects, that a worker remembers.
-REMEMBERED = 100 << 20
+REMEMBERED = 250 << 20
+
+
+#: Marks that never change the ids of the letters before them.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _letters(word: bytes) -> bool:
+    """Whether a word is nothing but letters when the normalizer has composed and lower-cased it."""
+    return unicodedata.normalize("NFC", word.decode()).lower().isalpha()
 
 
 class WordTokenizer:
-    """ids(texts) of a `tokenizers` file whose pieces never span white space, by remembered words.
+    """Ids of texts by a `tokenizers` BPE file with word ends whose pieces never span white space.
 
     Its pre-tokenizer drops white space and its normalizer looks at no more than one word, so a text's ids are
-    those of its words in turn; a word that comes again isn't encoded again.
+    those of its words in turn. Each distinct word of a batch is looked up once and remembered from batch to
+    batch. A word of letters with marks behind is two pieces: the letters, in lower case as the normalizer has
+    them, and the marks. New letter runs are encoded together in one text, in which an id with a word end closes
+    each; all other words are encoded as they stand.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core a task
-        self.inner, self.known, self.held = Tokenizer.from_file(path), {}, 0
+        self.inner = Tokenizer.from_file(path)
+        self.known, self.held, self.older = {}, 0, {}
+        self.closes = np.zeros(self.inner.get_vocab_size(), bool)
+        self.closes[[i for w, i in self.inner.get_vocab().items() if w.endswith("</w>")]] = True
 
     def _learn(self, words: list[bytes]) -> None:
-        more = sum(map(len, words)) * 3 + 200 * len(words)
-        if self.held + more > REMEMBERED:
-            self.known.clear()
-            self.held = 0
-        self.held += more
-        found = self.inner.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found, strict=True))
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text as little-endian unsigned 32-bit numbers."""
-        split = [t.split() for t in texts]
-        new = {w for words in split for w in words} - self.known.keys()
-        if new:
-            self._learn(sorted(new))
-        known, out = self.known, []
-        for words in split:
-            if not all(map(known.__contains__, words)):  # forgotten just now
-                self._learn(list(set(words)))
-            out.append(b"".join(map(known.__getitem__, words)))
-        return out
+        known, parts, whole, runs = self.known, [], set(), set()
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core.isalpha() or _letters(core):
+                low, rest = core.lower(), w[len(core) :]
+                parts.append((w, low, rest))
+                runs.add(low)
+                if rest:
+                    whole.add(rest)
+            else:
+                whole.add(w)
+        runs, whole = list(runs - known.keys()), list(whole - known.keys())
+        if runs:
+            ids = np.array(self.inner.encode_batch_fast([b" ".join(runs).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(runs):
+                raise ValueError("this tokenizer doesn't close each run of letters with a word end")
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            known.update((w, data[s:e]) for w, s, e in zip(runs, at, at[1:], strict=False))
+        if whole:
+            found = self.inner.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
+            known.update((w, array.array("I", e.ids).tobytes()) for w, e in zip(whole, found, strict=True))
+        known.update((w, known[low] + known[rest] if rest else known[low]) for w, low, rest in parts)
+        self.held += 200 * (len(parts) + len(runs) + len(whole)) + 3 * sum(map(len, whole)) + 3 * sum(map(len, runs))
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit numbers."""
+        if self.held > REMEMBERED // 2:
+            self.older, self.known, self.held = self.known, {}, 0
+        found = list(map(self.known.get, words))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        old = {words[k]: ids for k in gaps if (ids := self.older.get(words[k])) is not None}
+        self.known |= old
+        self.held += 200 * len(old)
+        self._learn([words[k] for k in gaps if words[k] not in old])
+        for k in gaps:
+            found[k] = self.known[words[k]]
+        return found
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (string, none null) end to end, and where each text's begin, with the end added."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = self.words(coded.dictionary.cast(pa.large_binary()).to_pylist())
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        firsts, index = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        n = sizes[index]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(words), "<u4")[np.repeat(firsts[index] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        return ids, np.concatenate([[0], ends])[at]
 
 
 class RankTokenizer:
-    """ids(texts) of a `tiktoken` rank file."""
+    """Ids of texts by a `tiktoken` rank file."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -69,8 +118,9 @@ class RankTokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.inner = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        return [np.array(self.inner.encode_ordinary(t.decode()), "<u4").tobytes() for t in texts]
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(self.inner.encode_ordinary(t), "<u4") for t in texts.to_pylist()]
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.cumsum([0, *map(len, ids)])
 
 
 @functools.lru_cache(4)
@@ -166,8 +216,9 @@ def packed_rows(docs: DataFrame, path: str, pattern: str | None, end_id: int, ca
 
         for batch in batches:
             for part in text_steps(batch, "text"):
-                for doc, raw in zip(part.column(0).to_pylist(), encode(texts_of(part)), strict=True):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+                given_ids, at = encode(part.column("text"))
+                for doc, b, e in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    ids = np.append(given_ids[b:e], np.uint32(end_id))
                     for s in range(0, len(ids), capacity):
                         items.append((doc, s, ids[s : s + capacity]))
                     held += len(ids)
