@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,21 +82,14 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-class WordHashes(dict):
-    """XXH64 of words, remembered; forgets all when it has grown to `most` words."""
-
-    def __init__(self, seed: int = 0, most: int = 400_000):
-        super().__init__()
-        self.seed, self.most = seed, most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, self.seed)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words (runs of anything but ASCII white space) of all texts (large_string, none null) end to end, and how many each has."""
+    split = pc.ascii_split_whitespace(texts)
+    flat = split.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    ends = np.concatenate([[0], np.cumsum(np.asarray(real))])
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+    return flat.filter(real), np.diff(ends[at])
 
 
 _ODD = 0x9E3779B97F4A7C15

@@ -16,12 +16,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from glyphora.llm._common import WordHashes, texts_of, window_hashes
+from glyphora.llm._common import window_hashes, words_of
 
 #: Words of a window that is removed if repeated, and of the first level.
 WINDOW, START = 35, 9
@@ -40,16 +42,16 @@ def lengths(window: int = WINDOW, start: int = START) -> list[int]:
 
 
 class Texts:
-    """Word hashes of some texts, end to end."""
+    """Words of some texts, end to end, and their hashes."""
 
-    hashes = WordHashes(11)
-
-    def __init__(self, texts: list[bytes], window: int):
-        self.words = [t.split() for t in texts]
-        self.sizes = np.fromiter(map(len, self.words), np.int64, len(texts))
+    def __init__(self, texts: pa.ChunkedArray, window: int):
+        one = pa.chunked_array(texts, pa.string()).cast(pa.large_string()).combine_chunks()
+        self.flat, self.sizes = words_of(one.combine_chunks() if isinstance(one, pa.ChunkedArray) else one)
         self.ends = np.cumsum(self.sizes)
-        parts = [self.hashes.of(w) for w in self.words]
-        self.all = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        coded = self.flat.dictionary_encode()
+        known = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in known), np.uint64, len(known))
+        self.all = hashes[coded.indices.to_numpy()]
         self.window = window
         room = np.repeat(self.ends, self.sizes) - np.arange(len(self.all))
         self.starts = room[: max(0, len(self.all) - window + 1)] >= window  # where a whole window starts
@@ -90,10 +92,6 @@ def _numbers(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, np.int64)
 
 
-def _all_texts(t: pa.Table) -> list[bytes]:
-    return [x for b in t.select(["text"]).to_batches() for x in texts_of(b)]
-
-
 def _keys(bucket: int, texts: Texts, length: int, alive: np.ndarray) -> pa.Table:
     key, n = texts.keys(length, alive)
     return pa.table([pa.array(np.full(len(key), bucket, np.int32)), pa.array(key), pa.array(n)], schema=KEY)
@@ -101,7 +99,7 @@ def _keys(bucket: int, texts: Texts, length: int, alive: np.ndarray) -> pa.Table
 
 def _first(window: int, length: int):
     def kernel(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        texts = Texts(_all_texts(t), window)
+        texts = Texts(t.column("text"), window)
         return _keys(key[0].as_py(), texts, length, texts.starts)
 
     return kernel
@@ -111,7 +109,7 @@ def _further(window: int, below: int, length: int):
     def kernel(key: tuple[pa.Scalar, ...], t: pa.Table, repeated: pa.Table) -> pa.Table:
         if not t.num_rows or not repeated.num_rows:
             return KEY.empty_table()
-        texts = Texts(_all_texts(t), window)
+        texts = Texts(t.column("text"), window)
         alive = texts.starts & _repeated(texts.least(below)[0], _numbers(repeated.column("key")))
         return _keys(key[0].as_py(), texts, length, alive)
 
@@ -144,7 +142,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW,
         found = keys.withColumn("times", times).where("times > 1").select("bucket", "key")
 
     def cut(t: pa.Table, repeated: pa.Table) -> pa.Table:
-        texts = Texts(_all_texts(t), window)
+        texts = Texts(t.column("text"), window)
         hit = texts.starts & _repeated(window_hashes(texts.all, window), _numbers(repeated.column("key")))
         edge = np.zeros(len(texts.all) + 1, np.int64)
         edge[:-window][hit] += 1
@@ -152,18 +150,16 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW,
         gone = np.cumsum(edge[:-1]) > 0
         before = np.concatenate([[0], np.cumsum(gone)])
         removed = before[texts.ends] - before[texts.ends - texts.sizes]
-        digests, kept = [], []
-        for words, n, end, size in zip(texts.words, removed, texts.ends, texts.sizes, strict=True):
-            if n:
-                flags = gone[end - size : end].tolist()
-                words = [w for w, g in zip(words, flags, strict=True) if not g]
-            line = b" ".join(words)
-            digests.append(hashlib.sha256(line).hexdigest())
-            kept.append(line.decode() if n else None)
+        stays = pa.array(~gone)
+        places = np.concatenate([[0], np.cumsum(texts.sizes - removed)])
+        lists = pa.LargeListArray.from_arrays(pa.array(places), texts.flat.filter(stays))
+        lines = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
+        digests = [hashlib.sha256(x).hexdigest() for x in lines.cast(pa.large_binary()).to_pylist()]
+        kept = pc.if_else(pa.array(removed > 0), lines, pa.scalar(None, pa.large_string())).cast(pa.string())
         own = t.column("own").combine_chunks()
         own = own if isinstance(own, pa.StructArray) else own.chunk(0)
         cols = [own.field(k) for k in range(own.type.num_fields)]
-        more = [pa.array(texts.sizes), pa.array(removed.astype(np.int64)), pa.array(digests, pa.string()), pa.array(kept, pa.string())]
+        more = [pa.array(texts.sizes), pa.array(removed.astype(np.int64)), pa.array(digests, pa.string()), kept]
         return pa.table([*cols, *more], names=[*keep, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     def cut_or_none(key: tuple[pa.Scalar, ...], t: pa.Table, repeated: pa.Table) -> pa.Table:
