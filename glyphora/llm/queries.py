@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphora.llm import bins, quality, simhash, substring, tokens
+from glyphora.llm import bins, quality, simhash, substring, tokens, topk
 from glyphora.llm._common import table
 
 
@@ -67,6 +67,26 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.whole(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_neardup": op1_simhash_neardup,
@@ -74,8 +94,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_quality_classifier": op6_quality_classifier,
+        "op8_exact_topk": op8_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op8_exact_topk": OP8_SQL}
