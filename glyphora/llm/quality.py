@@ -22,7 +22,7 @@ from glyphora.llm._common import text_steps, texts_of
 SIZE = 1 << 18
 SHARES = np.array([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.4])
 #: Labelled rows that the linear model is fitted on at most (the ratios count all), and passes over them.
-FIT_ROWS, PASSES = 6_000, 10
+FIT_ROWS, PASSES = 4_000, 10
 #: Cost of a margin violation, and weight of the fitted model against its mean size.
 COST, BETA = 1.0, 0.5
 #: Score from which a document is of good quality.
@@ -74,7 +74,9 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     own = labels.where("quality in (0, 1)").where(train_flag(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     own = own.where("quality = other").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(own, "doc_id")
+    # The labels' side is hashed, never broadcast: it grows with the corpus. Only training texts are shuffled.
+    texts = docs.where(train_flag(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(own.hint("shuffle_hash"), "doc_id")
 
 
 def class_counts(rows: DataFrame) -> np.ndarray:
