@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphora.llm import bins, quality, simhash, substring, tokens, topk
+from glyphora.llm import bins, quality, simhash, substring, tokens, topk, urls
 from glyphora.llm._common import table
 
 
@@ -87,6 +87,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_neardup": op1_simhash_neardup,
@@ -95,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_quality_classifier": op6_quality_classifier,
         "op8_exact_topk": op8_exact_topk,
+        "op10_url_filter": op10_url_filter,
     }
 
 
