@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphora.llm import bins, quality, simhash, substring, tokens, topk, urls
+from glyphora.llm import bins, html_extract, quality, simhash, substring, tokens, topk, urls
 from glyphora.llm._common import table
 
 
@@ -91,6 +91,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_neardup": op1_simhash_neardup,
@@ -98,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_html_extraction": op7_html_extraction,
         "op8_exact_topk": op8_exact_topk,
         "op10_url_filter": op10_url_filter,
     }
