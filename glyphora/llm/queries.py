@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphora.llm import bins, html_extract, quality, simhash, substring, tokens, topk, urls
+from glyphora.llm import bins, html_extract, licenses, quality, simhash, substring, tokens, topk, urls
 from glyphora.llm._common import table
 
 
@@ -87,6 +87,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -104,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_classifier": op6_quality_classifier,
         "op7_html_extraction": op7_html_extraction,
         "op8_exact_topk": op8_exact_topk,
+        "op9_license_scan": op9_license_scan,
         "op10_url_filter": op10_url_filter,
     }
 
