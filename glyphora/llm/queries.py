@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphora.llm import bins, html_extract, licenses, quality, simhash, substring, tokens, topk, urls
+from glyphora.llm import bins, decontaminate, html_extract, licenses, quality, simhash, substring, tokens, topk, urls
 from glyphora.llm._common import table
 
 
@@ -29,6 +29,10 @@ def op2_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.packed_rows(table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -103,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_neardup": op1_simhash_neardup,
         "op2_token_rows": op2_token_rows,
+        "op3_decontamination": op3_decontamination,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_quality_classifier": op6_quality_classifier,
