@@ -188,3 +188,9 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     """The columns `keep` of every row of docs (default doc_id), score double, predicted int (1 if score >= good)."""
     scored = score(docs, fit(docs, labels), keep)
     return scored.withColumn("predicted", (F.col("score") >= good).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, good: float = GOOD) -> DataFrame:
+    """docs without the rows whose score is below good; columns as given."""
+    packed = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return classify(packed, labels, ["row"], good).where("predicted = 1").select("row.*")

@@ -280,7 +280,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     times = marked.groupBy("root", "did", "th").count()
     goes = written(times.join(best.withColumn("best", F.lit(True)), ["root", "did", "th"], "left").where("best is null or count > 1"), "goes")
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("did"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("th"))
-    single = own.join(goes.select("did", "th"), ["did", "th"], "left_anti").select("row.*")
+    single = own.join(goes.select("did", "th").hint("shuffle_hash"), ["did", "th"], "left_anti").select("row.*")
     again = own.join(goes.where("best").select("did", "th"), ["did", "th"], "left_semi")
     again = again.groupBy("did", "th").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
     return single.unionByName(again)

@@ -116,13 +116,13 @@ def _further(window: int, below: int, length: int):
     return kernel
 
 
-def dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, start: int = START, bucket: int = BUCKET) -> DataFrame:
+def dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, start: int = START, bucket: int = BUCKET, whole: bool = False) -> DataFrame:
     """The columns `keep` of every row of docs (default doc_id), and n_words long, n_removed long, kept_sha256
     string, kept_text string.
 
     Words are runs of anything but ASCII white space. A word is removed if a window of `window` words of its
     document that covers it starts in another place too, in this or another row; windows are those of the input.
-    kept_text: the kept words joined by one space; null if nothing is removed. kept_sha256: of the kept words
+    kept_text: the kept words joined by one space; if nothing is removed, the text as given (whole) or null. kept_sha256: of the kept words
     joined so. Null texts are empty; shorter texts keep all; repeated rows remove each other whole.
     """
     keep = keep or ["doc_id"]
@@ -155,7 +155,9 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW,
         lists = pa.LargeListArray.from_arrays(pa.array(places), texts.flat.filter(stays))
         lines = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
         digests = [hashlib.sha256(x).hexdigest() for x in lines.cast(pa.large_binary()).to_pylist()]
-        kept = pc.if_else(pa.array(removed > 0), lines, pa.scalar(None, pa.large_string())).cast(pa.string())
+        given = t.column("text").combine_chunks() if whole else pa.scalar(None, pa.string())
+        kept = pc.if_else(pa.array(removed > 0), lines.cast(pa.string()), given)
+        kept = kept.combine_chunks() if isinstance(kept, pa.ChunkedArray) else kept
         own = t.column("own").combine_chunks()
         own = own if isinstance(own, pa.StructArray) else own.chunk(0)
         cols = [own.field(k) for k in range(own.type.num_fields)]
@@ -168,3 +170,16 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW,
     schema = docs.select(*keep).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
     cut_schema = to_arrow_schema(schema)
     return dealt.cogroup(found.groupBy("bucket")).applyInArrow(cut_or_none, schema)
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs, columns as given, with repeated windows cut from text (and n_chars, if there, set to what is left).
+
+    Every row stays; texts without repeats, and null ones, are unchanged.
+    """
+    rest = [docs[c] for c in docs.columns if c != "text"]
+    packed = docs.select("doc_id", "text", F.struct(*rest, docs["text"].isNull().alias("text")).alias("row"))
+    cut = dedup(packed, ["row"], window, whole=True)
+    text = F.when(F.col("row")["text"], F.lit(None).cast("string")).otherwise(F.col("kept_text"))
+    n = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return cut.select(*[(text if c == "text" else n if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])
