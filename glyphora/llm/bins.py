@@ -21,7 +21,7 @@ CAPACITY = 4096
 #: Pieces that one partition of the lowest level packs, and partitions that a node of the tree merges.
 LEAF, FAN = 100_000, 8
 #: Bytes of text that are encoded at once.
-STEP = 12 << 20
+STEP = 8 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,6 +48,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
                             to.append(v)
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "spread"])
+        encode.forget()
 
     return given.mapInArrow(kernel, PIECE + ", spread long")
 

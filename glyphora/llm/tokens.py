@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from glyphora.llm._common import text_steps
 
 #: Bytes of words and ids, with their objects, that a worker remembers.
-REMEMBERED = 250 << 20
+REMEMBERED = 200 << 20
+#: New words that are encoded at once.
+LEARN = 20_000
 
 
 #: Marks that never change the ids of the letters before them.
@@ -67,19 +69,26 @@ class WordTokenizer:
             else:
                 whole.add(w)
         runs, whole = list(runs - known.keys()), list(whole - known.keys())
-        if runs:
-            ids = np.array(self.inner.encode_batch_fast([b" ".join(runs).decode()], add_special_tokens=False)[0].ids, "<u4")
+        for at in range(0, len(runs), LEARN):  # in turns: the encoder's own results are large
+            turn = runs[at : at + LEARN]
+            ids = np.array(self.inner.encode_batch_fast([b" ".join(turn).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(runs):
+            if len(ends) != len(turn):
                 raise ValueError("this tokenizer doesn't close each run of letters with a word end")
-            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-            known.update((w, data[s:e]) for w, s, e in zip(runs, at, at[1:], strict=False))
-        if whole:
-            found = self.inner.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
-            known.update((w, array.array("I", e.ids).tobytes()) for w, e in zip(whole, found, strict=True))
+            data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            known.update((w, data[s:e]) for w, s, e in zip(turn, cuts, cuts[1:], strict=False))
+        for at in range(0, len(whole), LEARN):
+            turn = whole[at : at + LEARN]
+            found = self.inner.encode_batch_fast([w.decode() for w in turn], add_special_tokens=False)
+            known.update((w, array.array("I", e.ids).tobytes()) for w, e in zip(turn, found, strict=True))
         known.update((w, known[low] + known[rest] if rest else known[low]) for w, low, rest in parts)
         self.held += 200 * (len(parts) + len(runs) + len(whole)) + 3 * sum(map(len, whole)) + 3 * sum(map(len, runs))
 
+    def forget(self) -> None:
+        """Gives back the memory of words; a worker lives on after its task."""
+        self.known, self.held, self.older = {}, 0, {}
+        pa.default_memory_pool().release_unused()
+
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit numbers."""
         if self.held > REMEMBERED // 2:
