@@ -10,11 +10,16 @@ from glyphora.schemas import ENUMS, ordinal
 
 
 def merge_variant_types(a: Column, b: Column) -> Column:
-    """The type of a variant made of two parts: equal ones stay, default gives way, reduced with augmented is nonstandard, else the later one."""
+    """The type of a variant made of two parts; null if one is.
+
+    Alike: that. Reduced or augmented with default stays so; with anything else, and with nonstandard, it is
+    nonstandard; default with nondefault is nondefault.
+    """
     x, y = ordinal("sign_variant_type", a), ordinal("sign_variant_type", b)
     names = F.array(*[F.lit(n) for n in ENUMS["sign_variant_type"]])
-    mixed = F.when((F.least(x, y) == 2) & (F.greatest(x, y) == 3), F.lit("nonstandard"))
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(mixed, F.get(names, F.greatest(x, y))))
+    low, high = F.least(x, y), F.greatest(x, y)
+    merged = F.when(x == y, high).when((low == 0) & high.isin(2, 3), high).when(high >= 2, 4).otherwise(1)
+    return F.when(a.isNotNull() & b.isNotNull(), F.get(names, merged))
 
 
 def condition_merge(condition: Column) -> Column:

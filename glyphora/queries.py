@@ -282,8 +282,8 @@ def _type(c: str):
 
 
 @query(f"""WITH t AS (SELECT DISTINCT {_TYPE.format('l_returnflag')} AS a, {_TYPE.format('o_orderstatus')} AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-SELECT a, b, CASE WHEN least({_ORD.format('a')}, {_ORD.format('b')}) = 2 AND greatest({_ORD.format('a')}, {_ORD.format('b')}) = 3 THEN 'nonstandard'
-WHEN {_ORD.format('a')} >= {_ORD.format('b')} THEN a ELSE b END AS merged FROM t""")
+SELECT a, b, CASE WHEN a = b THEN a WHEN greatest({_ORD.format('a')}, {_ORD.format('b')}) IN (2, 3) AND least({_ORD.format('a')}, {_ORD.format('b')}) = 0 THEN CASE WHEN a = 'default' THEN b ELSE a END
+WHEN greatest({_ORD.format('a')}, {_ORD.format('b')}) >= 2 THEN 'nonstandard' ELSE 'nondefault' END AS merged FROM t""")
 def merge_variant_types(spark, sf_dir):
     rows = bind.table(spark, sf_dir, "lineitem").join(bind.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.select("l_returnflag", "o_orderstatus").distinct().select(_type("l_returnflag").alias("a"), _type("o_orderstatus").alias("b")).distinct()
