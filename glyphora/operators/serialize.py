@@ -117,17 +117,22 @@ def fragments(rows: DataFrame, keys: list[str]) -> DataFrame:
     rows = rows.withColumns(
         {"_p": F.lag("_s").over(own), "_p_end": F.lag("_end").over(own), "_n": F.lead("_s").over(own), "_n_start": F.lead("_start").over(own)}
     )
-    p, s, n = F.col("_p"), F.col("_s"), F.col("_n")
-    section = F.when(s["section_no"].isNotNull() & (p.isNull() | ~p["section_no"].eqNullSafe(s["section_no"])), F.concat(F.lit("%sec="), "section_name", F.lit(" "))).when(
-        s["section_no"].isNull() & p["section_no"].isNotNull(), "%sec "
-    ).otherwise("")
-    capital = F.col("capitalized") & (p.isNull() | (p["word_no"] != s["word_no"]))
-    quote = F.when(s["type"] == "description", '"').otherwise("")
-    body = F.concat(quote, F.coalesce("value", F.lit("")), quote, F.coalesce("crits", F.lit("")), F.coalesce(F.concat(F.lit("("), "comment", F.lit(")")), F.lit("")))
-    text = F.concat(section, _opening(p, s, F.col("_start"), F.col("_p_end"), F.coalesce(capital, F.lit(False))), body, _closing(s, n, F.col("_end"), F.col("_n_start")), _connector(s, n))
+    parts = ["_p", "_p_end", "_s", "_start", "_end", "_n", "_n_start", "section_name", "capitalized", "value", "crits", "comment"]
+    # A lambda is evaluated as one expression; generated code for it would outgrow a method.
+    text = F.get(F.transform(F.array(F.struct(*parts)), _fragment), F.lit(0))
     return rows.select(*keys, "line_no", "sign_no", text.alias("fragment"))
 
 
+def _fragment(x: Column) -> Column:
+    p, s, n = x["_p"], x["_s"], x["_n"]
+    changed = p.isNull() | ~p["section_no"].eqNullSafe(s["section_no"])
+    section = F.when(s["section_no"].isNotNull() & changed, F.concat(F.lit("%sec="), x["section_name"], F.lit(" "))).when(s["section_no"].isNull() & p["section_no"].isNotNull(), "%sec ").otherwise("")
+    capital = F.coalesce(x["capitalized"] & (p.isNull() | (p["word_no"] != s["word_no"])), F.lit(False))
+    quote = F.when(s["type"] == "description", '"').otherwise("")
+    body = F.concat(quote, F.coalesce(x["value"], F.lit("")), quote, F.coalesce(x["crits"], F.lit("")), F.coalesce(F.concat(F.lit("("), x["comment"], F.lit(")")), F.lit("")))
+    return F.concat(section, _opening(p, s, x["_start"], x["_p_end"], capital), body, _closing(s, n, x["_end"], x["_n_start"]), _connector(s, n))
+
+
 def joined(rows: DataFrame, keys: list[str], order: str, text: Column, sep: str, name: str) -> DataFrame:
     """keys, name: texts by order, joined."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
