@@ -388,3 +388,263 @@ SELECT tid, run_no, internal, min(log_no) AS first, max(log_no) AS last FROM g G
 def internal_groups(spark, sf_dir):
     rows = aggregates.runs(bind.event_log(spark, sf_dir), ["tid"], ["log_no"], "internal")
     return rows.groupBy("tid", "run_no", "internal").agg(F.min("log_no").alias("first"), F.max("log_no").alias("last"))
+
+
+# The sign list of part names: signs, graphemes, allographs, allomorphs, components, variants (b6v), composition (b6c).
+B6 = """sg AS (SELECT p_name, min(p_partkey) AS sign_id FROM part GROUP BY p_name
+), wd AS (SELECT w, min(p_partkey * 10 + k) AS g FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS k FROM part) GROUP BY w
+), al AS (SELECT g * 10 + 1 AS a, g, w, upper(w) AS glyph, 0 AS t, true AS s FROM wd UNION ALL SELECT g * 10 + 2, g, w, upper(w) || '2', 1, false FROM wd UNION ALL SELECT g * 10 + 3, g, w, upper(w) || '3', 2, false FROM wd WHERE length(w) % 2 = 0
+), mo AS (SELECT sign_id * 10 + 1 AS m, sign_id, 0 AS t, true AS s, string_split(p_name, ' ') AS ws FROM sg UNION ALL SELECT sign_id * 10 + 2, sign_id, 1, false, list_reverse(string_split(p_name, ' ')) FROM sg
+), mg AS (SELECT * FROM (VALUES (0, 0, 0), (1, 0, 1), (2, 0, 2), (0, 1, 1), (1, 1, 1), (2, 1, 4), (0, 2, 2), (1, 2, 4), (2, 2, 2), (0, 4, 4), (1, 4, 4), (2, 4, 4)) AS x(a, b, r)
+), vr AS (
+  SELECT sign_id, m, [x.a, y.a] AS ids, [x.g, y.g] AS gs, [x.a, y.a] AS glyph_ids, upper(x.w) || '.' || upper(y.w) AS graphemes, x.glyph || '.' || y.glyph AS glyphs, mo.t AS mt, q.r AS t, x.s AND y.s AND mo.s AS s
+  FROM mo JOIN al x ON x.w = ws[1] JOIN al y ON y.w = ws[2] JOIN mg p ON p.a = x.t AND p.b = mo.t JOIN mg q ON q.a = y.t AND q.b = p.r
+), b6v AS (SELECT *, ['default', 'nondefault', 'reduced', 'augmented', 'nonstandard'][t + 1] AS variant_type FROM (SELECT *, rank() OVER (PARTITION BY sign_id, glyph_ids ORDER BY t, mt, gs) AS k FROM vr) WHERE k = 1
+), b6c AS (SELECT *, row_number() OVER (ORDER BY sign_id, m, ids) AS sign_variant_id FROM b6v
+), vl AS (SELECT sign_id * 10 + 1 AS vv, sign_id, replace(p_name, ' ', '') || '1' AS value FROM sg UNION ALL SELECT sign_id * 10 + 2, sign_id, regexp_replace(p_name, ' .*', '') || 'x' FROM sg
+), ve AS (
+  SELECT value, sign_spec, value_id, sign_variant_id FROM (SELECT *, row_number() OVER (PARTITION BY value, sign_spec ORDER BY t, value_id, sign_variant_id) AS k FROM (
+    SELECT value, glyphs AS sign_spec, sign_id AS value_id, sign_variant_id, t FROM vl JOIN b6c USING (sign_id) UNION ALL
+    SELECT value, NULL, sign_id, sign_variant_id, t FROM vl JOIN b6c USING (sign_id) WHERE t = 0 AND value NOT LIKE '%x%' UNION ALL
+    SELECT regexp_replace(value, '[0-9]+$', '') || 'x', glyphs, sign_id, sign_variant_id, t FROM vl JOIN b6c USING (sign_id) WHERE value NOT LIKE '%x%')) WHERE k = 1
+)"""
+
+
+def _signlist(spark, sf_dir):
+    from glyphora.operators import signlist
+
+    t = bind.part_signlist(spark, sf_dir)
+    t["sign_variants"] = signlist.numbered(signlist.variants(t))
+    return t, signlist.composition(t)
+
+
+@query(f"WITH {B6} SELECT sign_id, m AS allomorph_id, array_to_string(ids, ',') AS allograph_ids, variant_type, s AS specific FROM b6v")
+def variant_enumeration(spark, sf_dir):
+    from glyphora.operators import signlist
+
+    return signlist.variants(bind.part_signlist(spark, sf_dir)).select("sign_id", "allomorph_id", _array("allograph_ids"), "variant_type", "specific")
+
+
+@query(f"WITH {B6} SELECT sign_variant_id, sign_id, graphemes, glyphs, '□□' AS unicode, array_to_string(glyph_ids, ',') AS glyph_ids FROM b6c")
+def composition_strings(spark, sf_dir):
+    return _signlist(spark, sf_dir)[1].select("sign_variant_id", "sign_id", "graphemes", "glyphs", "unicode", _array("glyph_ids"))
+
+
+@query(f"WITH {B6} SELECT value, sign_spec, value_id, sign_variant_id FROM ve")
+def values_encoded(spark, sf_dir):
+    from glyphora.operators import encoder
+
+    return encoder.values_encoded(*_signlist(spark, sf_dir))
+
+
+@query(f"""WITH {B6} SELECT glyphs AS sign, NULL AS sign_spec, sign_variant_id FROM b6c WHERE s UNION ALL
+SELECT a.glyphs, b.glyphs, b.sign_variant_id FROM b6c a JOIN b6c b USING (sign_id) WHERE a.t = 0""")
+def signs_encoded(spark, sf_dir):
+    from glyphora.operators import encoder
+
+    return encoder.signs_encoded(_signlist(spark, sf_dir)[1])
+
+
+@query(f"""WITH {B6}, v AS (SELECT upper(value) AS u FROM vl) SELECT DISTINCT * FROM (
+  SELECT upper(p_name_1) AS identifier, graphemes, glyphs FROM (SELECT replace(p_name, ' ', '') || '1' AS p_name_1, sign_id FROM sg) JOIN (SELECT sign_id, upper(ws[1]) || '.' || upper(ws[2]) AS graphemes, upper(ws[1]) || '.' || upper(ws[2]) AS glyphs FROM mo WHERE t = 0) USING (sign_id) UNION ALL
+  SELECT 'SYN' || glyph, NULL, glyph FROM al WHERE t = 2 UNION ALL
+  SELECT upper(w), upper(w), upper(w) FROM wd WHERE upper(w) NOT IN (SELECT u FROM v) UNION ALL
+  SELECT glyph, CASE WHEN s THEN upper(w) END, glyph FROM al WHERE glyph NOT IN (SELECT u FROM v) UNION ALL SELECT 'X', 'X', 'X')""")
+def sign_map_union(spark, sf_dir):
+    from glyphora.operators import signlist
+
+    return signlist.sign_map(bind.part_signlist(spark, sf_dir)).select("identifier", "graphemes", "glyphs").distinct()
+
+
+@query(f"""WITH {B6}, r AS (SELECT p_partkey AS tid, replace(p_name, ' ', '') || '1' AS value, CASE WHEN p_size % 2 = 0 THEN upper(replace(p_name, ' ', '2.')) END AS sign_spec FROM part)
+SELECT tid, value_id, sign_variant_id FROM r JOIN ve ON r.value = ve.value AND r.sign_spec IS NOT DISTINCT FROM ve.sign_spec""")
+def encoder_null_safe(spark, sf_dir):
+    from glyphora.operators import encoder, signlist
+
+    t, composed = _signlist(spark, sf_dir)
+    name = F.col("p_name")
+    spec = F.when(F.col("p_size") % 2 == 0, F.upper(F.regexp_replace(name, " ", "2.")))
+    rows = bind.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tid"), F.concat(F.regexp_replace(name, " ", ""), F.lit("1")).alias("value"), spec.alias("sign_spec"), F.lit("value").alias("type"))
+    found = encoder.encode(rows, ["tid"], signlist.sign_map(t), encoder.values_encoded(t, composed), encoder.signs_encoded(composed))
+    return found.select("tid", "value_id", "sign_variant_id")
+
+
+_SIGN_ROWS = f"""{B2}, r AS (SELECT tid, sign_no, word_no, compound_no, line_no, lower(grapheme) AS v, CASE flag WHEN 'A' THEN 'damaged' WHEN 'R' THEN 'lost' ELSE 'intact' END AS c FROM b2),
+n AS (SELECT *, lag(c) OVER o AS pc, lag(line_no) OVER o AS pl, lag(word_no) OVER o AS pw, lead(c) OVER o AS nc, lead(line_no) OVER o AS nl, lead(word_no) OVER o AS nw, lead(compound_no) OVER o AS nk FROM r WINDOW o AS (PARTITION BY tid ORDER BY sign_no))"""
+_CODE = """CASE WHEN pc IS NULL OR pc <> c OR pl <> line_no THEN CASE c WHEN 'lost' THEN '[' WHEN 'damaged' THEN '⸢' ELSE '' END ELSE '' END || v
+|| CASE WHEN nc IS NULL OR nc <> c OR nl <> line_no THEN CASE c WHEN 'lost' THEN ']' WHEN 'damaged' THEN '⸣' ELSE '' END ELSE '' END
+|| CASE WHEN nc IS NULL THEN '' WHEN nk <> compound_no THEN CASE WHEN nl <> line_no THEN '' ELSE ' ' END WHEN nw <> word_no THEN '--' ELSE '-' END"""
+
+
+def _sign_rows(spark, sf_dir):
+    rows = bind.order_signs(spark, sf_dir)
+    none, no = lambda t: F.lit(None).cast(t), F.lit(False)
+    return rows.select(
+        "tid", "sign_no", "word_no", "compound_no", "line_no", F.lower("grapheme").alias("value"), F.when(F.col("flag") == "A", "damaged").when(F.col("flag") == "R", "lost").otherwise("intact").alias("condition"),
+        none("int").alias("section_no"), none("string").alias("section_name"), F.lit("value").alias("type"), F.lit("none").alias("indicator_type"), none("boolean").alias("phonographic"), none("boolean").alias("stem"),
+        none("string").alias("language"), no.alias("inverted"), no.alias("newline"), no.alias("ligature"), none("string").alias("crits"), none("string").alias("comment"), no.alias("capitalized"), none("string").alias("pn_type"), none("string").alias("compound_comment"),
+    )
+
+
+@query(f"WITH {_SIGN_ROWS} SELECT tid, line_no, string_agg({_CODE}, '' ORDER BY sign_no) AS content FROM n GROUP BY ALL")
+def serialize_lines(spark, sf_dir):
+    from glyphora.operators import serialize
+
+    return serialize.lines(_sign_rows(spark, sf_dir), ["tid"])
+
+
+@query(f"WITH {_SIGN_ROWS.replace('FROM b2)', 'FROM b2 WHERE sign_no BETWEEN 1 AND 3)')} SELECT tid, line_no, string_agg({_CODE}, '' ORDER BY sign_no) AS content FROM n GROUP BY ALL")
+def serialize_range(spark, sf_dir):
+    from glyphora.operators import serialize
+
+    return serialize.in_range(_sign_rows(spark, sf_dir), ["tid"], F.lit(1), F.lit(3))
+
+
+@query(f"""WITH {_SIGN_ROWS} SELECT tid, line_no, string_agg(CASE WHEN c <> 'intact' AND (pc IS NULL OR pc <> c OR pl <> line_no) THEN '<span class=''open-' || c || '''></span>' ELSE '' END
+|| CASE WHEN c <> 'intact' AND (pc IS NULL OR pc <> c OR pl <> line_no OR pw <> word_no) THEN '<span class=''' || c || '''>' ELSE '' END || v
+|| CASE WHEN c <> 'intact' AND (nc IS NULL OR nc <> c OR nl <> line_no OR nw <> word_no) THEN '</span>' ELSE '' END
+|| CASE WHEN c <> 'intact' AND (nc IS NULL OR nc <> c OR nl <> line_no) THEN '<span class=''close-' || c || '''></span>' ELSE '' END
+|| CASE WHEN nc IS NULL THEN '' WHEN nk <> compound_no THEN CASE WHEN nl <> line_no THEN '' ELSE ' ' END WHEN nw <> word_no THEN '–' ELSE '-' END, '' ORDER BY sign_no) AS line FROM n GROUP BY ALL""")
+def html_spans(spark, sf_dir):
+    from glyphora.operators import html
+
+    return html.lines(_sign_rows(spark, sf_dir), ["tid"])
+
+
+@query(f"""WITH {B5}, l AS (SELECT tid, block_no, min(role) AS role, string_agg(line_no || chr(9) || regexp_replace(text, '[^a-z]', '', 'g'), chr(10) ORDER BY line_no) AS content FROM b5 GROUP BY tid, block_no)
+SELECT tid, string_agg('@column ' || role || chr(10) || content, chr(10) ORDER BY block_no) AS content FROM l GROUP BY tid""")
+def serialize_document(spark, sf_dir):
+    from glyphora.operators import serialize
+
+    t = bind.turns(spark, sf_dir)
+    none, no, zero = lambda k: F.lit(None).cast(k), F.lit(False), F.lit(0)
+    signs = t.select(
+        "tid", F.col("line_no").alias("sign_no"), F.col("line_no").alias("word_no"), F.col("line_no").alias("compound_no"), "line_no", F.regexp_replace("text", "[^a-z]", "").alias("value"), F.lit("intact").alias("condition"),
+        none("int").alias("section_no"), none("string").alias("section_name"), F.lit("value").alias("type"), F.lit("none").alias("indicator_type"), none("boolean").alias("phonographic"), none("boolean").alias("stem"),
+        none("string").alias("language"), no.alias("inverted"), no.alias("newline"), no.alias("ligature"), none("string").alias("crits"), none("string").alias("comment"), no.alias("capitalized"), none("string").alias("pn_type"), none("string").alias("compound_comment"),
+    )
+    tables = {
+        "lines": t.select("tid", "line_no", "block_no", F.col("line_no").cast("string").alias("line"), none("string").alias("line_comment")),
+        "blocks": t.groupBy("tid", "block_no").agg(F.min("role").alias("block_data")).select("tid", "block_no", zero.alias("surface_no"), F.lit("column").alias("block_type"), "block_data", none("string").alias("block_comment")),
+        "surfaces": t.select("tid").distinct().select("tid", zero.alias("surface_no"), F.lit("surface").alias("surface_type"), none("string").alias("surface_data"), none("string").alias("surface_comment")),
+    }
+    return serialize.documents(signs, tables, ["tid"])
+
+
+@query("""WITH w AS (SELECT conv_id AS tid, turn, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS line_no FROM conversations),
+b AS (SELECT coalesce(a.tid, z.tid) AS tid, coalesce(a.line_no, z.line_no) AS line_no, a.text AS o, z.text AS n FROM (SELECT * FROM w WHERE turn = 0) a FULL JOIN (SELECT * FROM w WHERE turn = 1) z ON a.tid = z.tid AND a.line_no = z.line_no),
+c AS (SELECT *, line_no - row_number() OVER (PARTITION BY tid ORDER BY line_no) AS g FROM b WHERE o IS DISTINCT FROM n)
+SELECT tid, min(line_no) AS line_no_start, max(line_no) AS line_no_end, string_agg(o, ' / ' ORDER BY line_no) AS old, string_agg(n, ' / ' ORDER BY line_no) AS new FROM c GROUP BY tid, g""")
+def full_outer_diff(spark, sf_dir):
+    from glyphora.operators import diff
+
+    words = bind.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tid"), "turn", F.posexplode(F.split("text", " ", -1)).alias("line_no", "text"))
+    return diff.changed_lines(words.where("turn = 0").drop("turn"), words.where("turn = 1").drop("turn"), ["tid"])
+
+
+@query(f"""WITH {B2}, s AS (SELECT tid, string_agg(grapheme[1], '' ORDER BY sign_no) AS s FROM b2 GROUP BY tid), p AS (SELECT *, lag(s) OVER (PARTITION BY text_id ORDER BY tid) AS old FROM s JOIN (SELECT o_orderkey AS tid, o_custkey AS text_id FROM orders) USING (tid))
+SELECT tid, levenshtein(old, s) AS cost FROM p WHERE old IS NOT NULL""")
+def levenshtein_cost(spark, sf_dir):
+    from glyphora.operators.signlist import ordered
+
+    signs = bind.order_signs(spark, sf_dir).groupBy("tid").agg(F.array_join(ordered(F.substring("grapheme", 1, 1), F.col("sign_no")), "").alias("s"))
+    rows = signs.join(bind.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tid"), F.col("o_custkey").alias("text_id")), "tid")
+    rows = rows.withColumn("old", F.lag("s").over(Window.partitionBy("text_id").orderBy("tid"))).where("old is not null")
+    return rows.select("tid", F.levenshtein("old", "s").cast("bigint").alias("cost"))
+
+
+@query()
+def edit_script(spark, sf_dir):
+    """Script that turns the part types of a customer's order into those of the next."""
+    from glyphora.operators.editing import levenshtein
+    from glyphora.operators.signlist import ordered
+
+    signs = bind.order_signs(spark, sf_dir).groupBy("tid").agg(ordered(F.col("grapheme"), F.col("sign_no")).alias("s"))
+    rows = signs.join(bind.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tid"), F.col("o_custkey").alias("text_id")), "tid")
+    rows = rows.withColumn("old", F.lag("s").over(Window.partitionBy("text_id").orderBy("tid"))).where("old is not null").select("tid", "old", "s")
+
+    def kernel(batches):
+        for b in batches:
+            found = [levenshtein(list(o), list(s)) for o, s in zip(b["old"], b["s"], strict=True)]
+            b["cost"] = [c for c, _ in found]
+            b["script"] = [";".join(f"{op} {no} {v or ''}".strip() for op, no, v in ops) for _, ops in found]
+            yield b[["tid", "cost", "script"]]
+
+    return rows.mapInPandas(kernel, "tid bigint, cost int, script string")
+
+
+@query("SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+def delete_empty(spark, sf_dir):
+    from glyphora.operators.editing import empty_parents
+
+    parents = bind.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    return empty_parents(parents, bind.table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("id")), ["id"])
+
+
+@query(f"""WITH {B2} SELECT tid, compound_no, dense_rank() OVER (PARTITION BY tid ORDER BY compound_no) - 1 AS new_no, count(*) AS n FROM b2 WHERE flag <> 'N' GROUP BY tid, compound_no""")
+def split_merge(spark, sf_dir):
+    """Compounds that are left when signs go, with their new numbers."""
+    from glyphora.operators import diff
+
+    rows = bind.order_signs(spark, sf_dir).where("flag <> 'N'").groupBy("tid", "compound_no").agg(F.count("*").alias("n"))
+    return diff.renumbered(rows, ["tid"], ["compound_no"], "new_no")
+
+
+@query(f"""WITH {B1}, m AS (SELECT a.tid, a.sign_no FROM b1 a JOIN b1 b ON a.tid = b.tid AND b.sign_no = a.sign_no + 1 WHERE regexp_matches(a.value, '^th.*') AND regexp_matches(b.value, '^th.*'))
+SELECT tid, sign_no || ',' || (sign_no + 1) AS signs, EXISTS (SELECT 1 FROM m x WHERE x.tid = m.tid AND abs(x.sign_no - m.sign_no) = 1) AS overlap FROM m""")
+def replace_overlaps(spark, sf_dir):
+    from glyphora.operators import diff
+
+    return diff.overlaps(_find(spark, sf_dir, "/th.*/ /th.*/").select("tid", "signs"), ["tid"]).select("tid", _array("signs"), "overlap")
+
+
+@query(f"""WITH {B1}, m AS (SELECT a.tid, a.sign_no AS s FROM b1 a JOIN b1 b ON a.tid = b.tid AND b.sign_no = a.sign_no + 1 WHERE a.value = 'of' AND b.value = 'the'),
+r AS (SELECT b1.tid, sign_no, CASE WHEN x.s IS NOT NULL THEN 'ofthe' ELSE value END AS value FROM b1 LEFT JOIN m x ON b1.tid = x.tid AND sign_no = x.s LEFT JOIN m y ON b1.tid = y.tid AND sign_no = y.s + 1 WHERE y.s IS NULL)
+SELECT tid, row_number() OVER (PARTITION BY tid ORDER BY sign_no) - 1 AS sign_no, value FROM r WHERE tid IN (SELECT tid FROM m)""")
+def replace_tokens(spark, sf_dir):
+    """Documents in which `of the` occurs, with it written as one word, and all words numbered anew."""
+    from glyphora.operators import diff
+
+    found = _find(spark, sf_dir, "of the").select("tid", F.get("signs", F.lit(0)).alias("a"), F.get("signs", F.lit(1)).alias("b"))
+    parts = found.select("tid", F.explode(F.array(F.struct(F.col("a").alias("sign_no"), F.lit("ofthe").alias("new")), F.struct(F.col("b").alias("sign_no"), F.lit(None).cast("string").alias("new")))).alias("x")).select("tid", "x.*").withColumn("hit", F.lit(True))
+    words = bind.document_tokens(spark, sf_dir).select("tid", "sign_no", "value").join(found.select("tid").distinct(), "tid", "left_semi")
+    rows = words.join(parts, ["tid", "sign_no"], "left").where("hit is null or new is not null").withColumn("value", F.coalesce("new", "value")).drop("new", "hit")
+    return diff.renumbered(rows.withColumnRenamed("sign_no", "o"), ["tid"], ["o"], "sign_no").drop("o")
+
+
+@query(f"""WITH {B2}, c AS (SELECT tid, compound_no, min(status) AS kind, list(grapheme ORDER BY sign_no) AS e FROM b2 GROUP BY ALL),
+t AS (SELECT DISTINCT p_type AS a FROM part), s AS (SELECT DISTINCT l_linestatus AS kind FROM lineitem),
+n AS (SELECT x.a AS name, kind, [x.a] AS e FROM t x, s UNION ALL SELECT x.a || ' ' || y.a, kind, [x.a, y.a] FROM t x, t y, s WHERE x.a < y.a)
+SELECT tid, compound_no, name FROM (SELECT tid, compound_no, name, row_number() OVER (PARTITION BY tid, compound_no ORDER BY len(n.e) DESC, name) AS k FROM c JOIN n USING (kind) WHERE c.e[1:len(n.e)] = n.e) WHERE k = 1""")
+def pn_prefix_match(spark, sf_dir):
+    from glyphora.operators import names
+    from glyphora.operators.signlist import ordered
+
+    signs = bind.order_signs(spark, sf_dir)
+    compounds = signs.groupBy("tid", "compound_no").agg(F.min("status").alias("kind"), ordered(F.col("grapheme"), F.col("sign_no")).alias("elements"))
+    kinds = [r.a for r in bind.table(spark, sf_dir, "part").select(F.col("p_type").alias("a")).distinct().collect()]  # the few part types
+    spelled = [(a, [a]) for a in kinds] + [(f"{a} {b}", [a, b]) for a in kinds for b in kinds if a < b]
+    status = bind.table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("kind")).distinct()
+    known = status.withColumn("x", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, e)).alias("elements")) for n, e in spelled]))) if spelled else None
+    return names.prefix_matches(compounds, known.select("kind", "x.*"), ["tid", "compound_no"], ["name"])
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, string_split(upper(p_name), ' ') AS w FROM part)
+SELECT id, w[1] || '.' || w[2] || '.C' AS chain, '(' || w[1] || '.C)&(' || w[2] || '.D)' AS stacks, w[1] || '@t×(' || w[2] || '.A)' AS kept, true AS matched FROM n""")
+def sign_tree(spark, sf_dir):
+    from glyphora.functions import signtree
+
+    w = F.split(F.upper("p_name"), " ")
+    a, b = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+    rows = bind.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(a, F.lit(".("), b, F.lit(".C)")).alias("x"), F.concat(F.lit("("), a, F.lit("&"), b, F.lit(").(C&D)")).alias("y"), F.concat(a, F.lit("@t×("), b, F.lit(".A)")).alias("z"))
+    n = signtree.normalize_column
+    return rows.select("id", n(F.col("x")).alias("chain"), n(F.col("y")).alias("stacks"), n(F.col("z")).alias("kept"), signtree.matches_column(F.col("z"), "X×X").alias("matched"))
+
+
+@query("""WITH o AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE value < 50 GROUP BY ALL), z AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE value >= 50 GROUP BY ALL)
+SELECT user_id, event_type, coalesce(o.n, 0) + coalesce(z.n, 0) AS n FROM o FULL JOIN z USING (user_id, event_type)""")
+def upsert_merge(spark, sf_dir):
+    from glyphora.operators import diff
+
+    count = lambda cond: bind.table(spark, sf_dir, "events").where(cond).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return diff.upsert(count("value < 50"), count("value >= 50"), ["user_id", "event_type"], "n")

@@ -107,3 +107,30 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["ORDER", "document_tokens", "event_log", "order_signs", "order_texts", "places", "table", "turns", "with_positions"]
+
+
+def part_signlist(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A sign list of part names: a name is a sign, its words are graphemes with two or three glyphs each; it may also be spelled backwards."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("id"), "p_name")
+    sign = part.groupBy("p_name").agg(F.min("id").alias("sign_id"))
+    word = part.select("id", F.posexplode(F.split("p_name", " ")).alias("k", "grapheme")).groupBy("grapheme").agg(F.min(F.col("id") * 10 + F.col("k")).alias("grapheme_id"))
+    glyph = lambda no, name, kind, specific: F.struct(F.lit(no).alias("no"), name.alias("glyph"), F.lit(kind).alias("variant_type"), F.lit(specific).alias("specific"))
+    upper = F.upper("grapheme")
+    kinds = F.array(glyph(1, upper, "default", True), glyph(2, F.concat(upper, F.lit("2")), "nondefault", False), glyph(3, F.concat(upper, F.lit("3")), "reduced", False))
+    graph = word.select("grapheme_id", "grapheme", F.explode(kinds).alias("x")).where("x.no < 3 or length(grapheme) % 2 = 0")
+    graph = graph.select((F.col("grapheme_id") * 10 + F.col("x.no")).alias("allograph_id"), "grapheme_id", "x.glyph", "x.variant_type", "x.specific")
+    morph = sign.select("sign_id", "p_name", F.explode(F.array(F.lit(1), F.lit(2))).alias("no"))
+    spelled = F.when(F.col("no") == 1, F.split("p_name", " ")).otherwise(F.reverse(F.split("p_name", " ")))
+    parts = morph.select((F.col("sign_id") * 10 + F.col("no")).alias("allomorph_id"), F.posexplode(spelled).alias("k", "grapheme")).join(word, "grapheme")
+    reading = sign.select("sign_id", F.explode(F.array(F.struct(F.lit(1).alias("no"), F.concat(F.regexp_replace("p_name", " ", ""), F.lit("1")).alias("v")), F.struct(F.lit(2).alias("no"), F.concat(F.regexp_replace("p_name", " .*", ""), F.lit("x")).alias("v")))).alias("x"))
+    return {
+        "glyphs": graph.select(F.col("allograph_id").alias("glyph_id"), "glyph", F.lit(None).cast("string").alias("unicode")),
+        "glyph_synonyms": graph.where("variant_type = 'reduced'").select(F.concat(F.lit("SYN"), "glyph").alias("synonym"), F.col("allograph_id").alias("glyph_id")),
+        "graphemes": word.select("grapheme_id", F.upper("grapheme").alias("grapheme"), F.lit(None).cast("int").alias("mzl_no")),
+        "allographs": graph.select("allograph_id", "grapheme_id", F.col("allograph_id").alias("glyph_id"), "variant_type", "specific"),
+        "allomorphs": morph.select((F.col("sign_id") * 10 + F.col("no")).alias("allomorph_id"), "sign_id", F.when(F.col("no") == 1, "default").otherwise("nondefault").alias("variant_type"), (F.col("no") == 1).alias("specific")),
+        "allomorph_components": parts.select("allomorph_id", (F.col("k") + 1).alias("pos"), "grapheme_id"),
+        "values": sign.select(F.col("sign_id").alias("value_id"), "sign_id", (F.col("sign_id") * 10 + 1).alias("main_variant_id"), F.lit(False).alias("phonographic")),
+        "value_variants": reading.select((F.col("sign_id") * 10 + F.col("x.no")).alias("value_variant_id"), F.col("sign_id").alias("value_id"), F.col("x.v").alias("value")),
+        "glyph_values": graph.where("variant_type = 'nondefault'").limit(0).select(F.col("glyph").alias("value"), F.col("allograph_id").alias("value_id"), F.array("allograph_id").alias("glyph_ids")),
+    }
