@@ -68,6 +68,8 @@ class Texts:
 
     def keys(self, length: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys of the windows that are alive, and 1, or 2 if there is more than one place."""
+        if not alive.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
         low, given = self.least(length)
         top = np.where(alive, low, 0)
         have, need = 1, self.window - length + 1
