@@ -573,12 +573,12 @@ def edit_script(spark, sf_dir):
     return rows.mapInPandas(kernel, "tid bigint, cost int, script string")
 
 
-@query("SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+@query("SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def delete_empty(spark, sf_dir):
     from glyphora.operators.editing import empty_parents
 
     parents = bind.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-    return empty_parents(parents, bind.table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("id")), ["id"])
+    return empty_parents(parents, bind.table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id")), ["id"])
 
 
 @query(f"""WITH {B2} SELECT tid, compound_no, dense_rank() OVER (PARTITION BY tid ORDER BY compound_no) - 1 AS new_no, count(*) AS n FROM b2 WHERE flag <> 'N' GROUP BY tid, compound_no""")
