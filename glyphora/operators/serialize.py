@@ -31,9 +31,9 @@ def _text(*cases: tuple[Column, str]) -> Column:
 
 def _bracket(value: Column, condition: Column) -> tuple[Column, Column]:
     """Conditions at the start and the end of a sign whose value may hold brackets itself."""
-    brackets = "[\\[\\]⸢⸣‹›«»]"
-    first = F.regexp_extract(F.coalesce(value, F.lit("")), f"({brackets})", 1)
-    last = F.regexp_extract(F.coalesce(value, F.lit("")), f".*({brackets})", 1)
+    brackets = "\\[\\]⸢⸣‹›«»"
+    first = F.regexp_extract(F.coalesce(value, F.lit("")), f"([{brackets}])", 1)
+    last = F.regexp_extract(F.coalesce(value, F.lit("")), f"([{brackets}])[^{brackets}]*$", 1)
     shut = {v: k for k, v in CLOSE.items()}
     start = F.when(first == "", condition).when(first.isin(*shut), _pick(first, shut)).otherwise("intact")
     end = F.when(last == "", condition).when(last.isin(*shut), "intact").otherwise(_pick(last, {v: k for k, v in OPEN.items()}))

@@ -12,6 +12,7 @@ from glyphora.functions import labels, position
 from glyphora.operators import aggregates, citation, log, stats, trees
 from glyphora.plans import search as plan
 from glyphora.sources import bindings as bind
+from glyphora.sources.store import materialized
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -414,8 +415,8 @@ def _signlist(spark, sf_dir):
     from glyphora.operators import signlist
 
     t = bind.part_signlist(spark, sf_dir)
-    t["sign_variants"] = signlist.numbered(signlist.variants(t))
-    return t, signlist.composition(t)
+    t["sign_variants"] = materialized(signlist.numbered(signlist.variants(t)), "variants")
+    return t, materialized(signlist.composition(t), "composition")
 
 
 @query(f"WITH {B6} SELECT sign_id, m AS allomorph_id, array_to_string(ids, ',') AS allograph_ids, variant_type, s AS specific FROM b6v")

@@ -22,11 +22,8 @@ def document_tokens(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
     Words without letters drop out before numbering. All is done within the row, so nothing is shuffled.
     """
-    line = F.split("text", "\n", -1)
-    words = F.transform(
-        line,
-        lambda x, i: F.transform(F.split(x, " ", -1), lambda w: F.struct(i.alias("line_no"), F.regexp_replace(F.lower(w), r"[^\p{L}]", "").alias("value"))),
-    )
+    letters = F.regexp_replace(F.lower("text"), r"[^\p{L} \n]", "")  # one pass over the text, before it is split
+    words = F.transform(F.split(letters, "\n", -1), lambda x, i: F.transform(F.split(x, " ", -1), lambda w: F.struct(i.alias("line_no"), w.alias("value"))))
     signs = F.filter(F.flatten(words), lambda s: s["value"] != "")
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tid"), *more, F.posexplode(signs).alias("sign_no", "x"))
     return with_positions(rows.select("tid", *more, "sign_no", F.col("x.line_no").alias("line_no"), F.col("x.value").alias("value")))
