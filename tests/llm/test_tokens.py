@@ -31,7 +31,7 @@ def test_same_ids(text):
     assert ids_of(text) == PLAIN.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=150, deadline=None, derandomize=True)
 @given(st.text(max_size=60))
 def test_same_ids_of_any_text(text):
     assert ids_of(text) == PLAIN.encode(text, add_special_tokens=False).ids
@@ -52,7 +52,7 @@ def test_tightest_bin():
     assert room.tightest(4) == (2, 5) and room.tightest(4) == (1, 7) and room.tightest(4) is None and room.tightest(3) == (0, 3)
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=60, deadline=None, derandomize=True)
 @given(st.lists(st.integers(1, 20), max_size=60))
 def test_best_fit(sizes):
     where, _, made = tokens.best_fit_decreasing(sizes, 20)
