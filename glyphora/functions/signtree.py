@@ -82,7 +82,7 @@ def normalize(tree: Tree) -> Tree:
 
 def _joined(op: str, a: Tree, b: Tree) -> Tree:
     if a[0] == b[0] == "&" and len(a[1]) == len(b[1]) == 2:
-        return ("&", (_joined(op, a[1][0], b[1][0]), _joined(op, a[1][1], b[1][1])))
+        return ("&", tuple(normalize((op, (x, y))) for x, y in zip(a[1], b[1], strict=True)))
     return (op, (a, b))
 
 

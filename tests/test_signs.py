@@ -1,4 +1,4 @@
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -9,11 +9,13 @@ from glyphora.operators import aggregates
 TREES = st.recursive(st.sampled_from("ABCDE").map(lambda x: (x, ())), lambda t: st.tuples(st.sampled_from(".+×&"), st.tuples(t, t)) | st.tuples(st.sampled_from(["t", "g", "180"]), st.tuples(t)), max_leaves=8)
 
 
+@settings(max_examples=500, derandomize=True)
 @given(TREES)
 def test_compose_then_parse(tree):
     assert parse(compose(tree)) == tree
 
 
+@settings(max_examples=500, derandomize=True)
 @given(TREES)
 def test_normal_form_is_stable(tree):
     assert normalize(normalize(tree)) == normalize(tree)
