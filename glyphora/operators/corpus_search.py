@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphora.functions import position
 from glyphora.functions.code import read
-from glyphora.operators import editing, encoder, rewriting
+from glyphora.operators import editing, encoder, html, rewriting, serialize
 from glyphora.plans import search as plan
 from glyphora.plans.pattern import Choice, Group, Leaf, branches, parse
 
@@ -109,6 +109,39 @@ def search(rows: DataFrame, text: str, signlist: dict[str, DataFrame]) -> DataFr
     return flat.withColumn("captures", F.when(F.col("captures").isNotNull(), F.map_from_entries("captures")))
 
 
+def _clean(t: dict[str, DataFrame], characters: DataFrame) -> DataFrame:
+    """Sign rows without editorial marks; what isn't encoded is a placeholder of its type."""
+    rows = serialize.corpus_code(t, characters)
+    no, none = F.lit(False), F.lit(None).cast("string")
+    return rows.withColumns(
+        {
+            "value": F.coalesce("print", html.placeholder(F.col("type"), html=False)), "condition": F.lit("intact"), "section_no": F.lit(None).cast("int"), "section_name": none, "line_no": F.lit(0),
+            "inverted": no, "newline": no, "ligature": no, "crits": none, "comment": none, "capitalized": no, "pn_type": none, "compound_comment": none,
+        }
+    )
+
+
+def found_signs(matches: DataFrame, t: dict[str, DataFrame], characters: DataFrame) -> DataFrame:
+    """transliteration_id, signs (text), sign_nos of each match."""
+    each = matches.select(KEY, F.col("signs").alias("sign_nos"), F.explode("signs").alias("sign_no"))
+    text = serialize.lines(_clean(t, characters).join(each, [KEY, "sign_no"]), [KEY, "sign_nos"])
+    return text.select(KEY, F.col("content").alias("signs"), "sign_nos")
+
+
+def found_words(matches: DataFrame, t: dict[str, DataFrame], characters: DataFrame) -> DataFrame:
+    """transliteration_id, word: the whole words that each match touches."""
+    each = matches.select(KEY, F.col("signs").alias("match"), F.explode("words").alias("word_no")).distinct()
+    text = serialize.lines(_clean(t, characters).join(each, [KEY, "word_no"]), [KEY, "match"])
+    return text.select(KEY, F.col("content").alias("word"))
+
+
+def found_lines(matches: DataFrame, t: dict[str, DataFrame], characters: DataFrame) -> DataFrame:
+    """transliteration_id, line, line_no: the whole lines that each match touches."""
+    each = matches.select(KEY, F.col("signs").alias("match"), F.explode("lines").alias("line_no")).distinct()
+    rows = serialize.corpus_code(t, characters).join(each, [KEY, "line_no"])
+    return serialize.lines(rows, [KEY, "match"]).select(KEY, F.col("content").alias("line"), "line_no")
+
+
 def read_pattern(code: str, signlist: dict[str, DataFrame]) -> list[rewriting.Sign]:
     """Signs of a replacement, encoded. A description "n" refers to capture n. Raises ValueError if it can't be read or encoded."""
     doc = read(f"1\t{code}")

@@ -649,3 +649,47 @@ def upsert_merge(spark, sf_dir):
 
     count = lambda cond: bind.table(spark, sf_dir, "events").where(cond).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return diff.upsert(count("value < 50"), count("value >= 50"), ["user_id", "event_type"], "n")
+
+
+@query(f"""WITH {B6} SELECT value, NULL AS sign_spec, 'v' || sign_id AS code FROM vl UNION ALL SELECT value, glyphs, 'v' || sign_id || 's' || sign_variant_id FROM vl JOIN b6c USING (sign_id)""")
+def values_search(spark, sf_dir):
+    from glyphora.operators import dictionary
+
+    return dictionary.values_search(*_signlist(spark, sf_dir))
+
+
+@query(f"WITH {B6} SELECT upper(value) AS sign, CASE WHEN i = 2 THEN glyphs END AS sign_spec, 's' || sign_variant_id AS code FROM vl JOIN b6c USING (sign_id), (VALUES (1), (2)) AS x(i)")
+def signs_search(spark, sf_dir):
+    from glyphora.operators import dictionary
+
+    return dictionary.signs_search(*_signlist(spark, sf_dir))
+
+
+@query(f"WITH {B6} SELECT a.glyphs AS sign, CASE WHEN i = 2 THEN b.glyphs END AS sign_spec, 's' || b.sign_variant_id AS code FROM b6c a JOIN b6c b USING (sign_id), (VALUES (1), (2)) AS x(i) WHERE a.s")
+def sign_descriptions_search(spark, sf_dir):
+    from glyphora.operators import dictionary
+
+    return dictionary.sign_descriptions_search(_signlist(spark, sf_dir)[1])
+
+
+@query(f"""WITH {B6} SELECT upper(value) AS form, NULL AS sign_spec, '(g' || x.g || '|c' || x.a || ')~(g' || y.g || '|c' || y.a || ')' AS code
+FROM vl JOIN mo USING (sign_id) JOIN al x ON x.w = ws[1] JOIN al y ON y.w = ws[2] WHERE mo.s AND x.s AND y.s UNION ALL
+SELECT upper(value), glyphs, 'c' || glyph_ids[1] || '~c' || glyph_ids[2] FROM vl JOIN b6c USING (sign_id)""")
+def forms_search(spark, sf_dir):
+    from glyphora.operators import dictionary
+
+    return dictionary.forms_search(*_signlist(spark, sf_dir))
+
+
+@query(f"""WITH {B6} SELECT upper(w) AS form, NULL AS sign_spec, 'g' || g AS code FROM wd UNION ALL SELECT upper(w), glyph, 'c' || a FROM al UNION ALL SELECT glyph, NULL, 'c' || a FROM al""")
+def form_descriptions_search(spark, sf_dir):
+    from glyphora.operators import dictionary
+
+    return dictionary.form_descriptions_search(bind.part_signlist(spark, sf_dir))
+
+
+@query(f"""WITH {B6} SELECT sign_id, sign_variant_id, graphemes, glyphs, variant_type, s AS specific, sign_id AS value_id, vv AS value_variant_id, value, vv = sign_id * 10 + 1 AS main FROM vl JOIN b6c USING (sign_id)""")
+def signlist_listing(spark, sf_dir):
+    from glyphora.operators import signlist
+
+    return signlist.signlist(*_signlist(spark, sf_dir)).drop("unicode")
