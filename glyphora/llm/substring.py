@@ -129,7 +129,8 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW,
     """
     keep = keep or ["doc_id"]
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // bucket))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    buckets = max(1, -(-total // bucket), min(cores, -(-8 * total // bucket)))  # on few data, smaller ones for all cores
     text = F.coalesce("text", F.lit(""))
     given = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), text.alias("text"), F.struct(*keep).alias("own"))
     dealt = given.groupBy("bucket")
