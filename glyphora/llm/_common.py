@@ -33,21 +33,36 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet below the shared folder and reads it back.
 
-    The files outlive lost executors; `drop_written` removes them early.
+    The files outlive lost executors. `drop_written` removes them early, `clean` when a result has been saved.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _PATHS.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._glyphora_path = path
     return out
 
 
+#: What this driver has written and not deleted yet.
+_PATHS: list[str] = []
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _PATHS.remove(name)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table made by `written`."""
-    jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-    path = jvm.org.apache.hadoop.fs.Path(df._glyphora_path)
-    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._glyphora_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all intermediate tables: results that build on them must have been saved."""
+    for name in list(_PATHS):
+        _delete(spark, name)
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:

@@ -23,6 +23,8 @@ SIZE = 1 << 18
 SHARES = np.array([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.4])
 #: Labelled rows that the linear model is fitted on at most (the ratios count all), and passes over them.
 FIT_ROWS, PASSES = 4_000, 10
+#: Text of those rows at most; of longer texts fewer rows are taken.
+FIT_BYTES = 64 << 20
 #: Cost of a margin violation, and weight of the fitted model against its mean size.
 COST, BETA = 1.0, 0.5
 #: Score from which a document is of good quality.
@@ -100,10 +102,12 @@ def class_counts(rows: DataFrame) -> np.ndarray:
 
 
 def sample(rows: DataFrame, most: int) -> list[tuple[int, np.ndarray]]:
-    """Features and class of at most `most` rows, those with the least hash of doc_id."""
+    """Features and class of at most `most` rows, and of FIT_BYTES of text about: those with the least hash of doc_id."""
     hashed = rows.select("text", "quality", F.xxhash64("doc_id").alias("h"))
     last = hashed.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]  # of ids alone: no text is sorted
-    some = hashed.where(F.col("h") <= F.lit(last)).limit(most)
+    some = hashed.where(F.col("h") <= F.lit(last))
+    size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a text has at most as many features as bytes
+    some = some.limit(most if size <= FIT_BYTES else max(1, int(most * FIT_BYTES / size)))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
