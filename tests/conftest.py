@@ -19,3 +19,10 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+@pytest.fixture(scope="session")
+def signlist(spark):
+    from . import mini
+
+    return mini.tables(spark)

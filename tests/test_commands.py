@@ -1,14 +1,13 @@
 import pytest
 
-from glyphora.operators import commands, signlist
+from glyphora.operators import commands
+from glyphora.operators import signlist as signs
 from glyphora.schemas import schema
 
-from . import mini
 
-
-@pytest.fixture(scope="module")
-def t(spark):
-    return mini.tables(spark)
+@pytest.fixture
+def t(signlist):
+    return signlist
 
 
 def values(t):
@@ -21,10 +20,10 @@ def test_add(t):
     assert "dir5" in values(u) and row.phonographic and u["value_variants"].where(f"value_variant_id = {row.main_variant_id}").first().value_id == v
     u, g = commands.add_default_grapheme(u, "GA")
     u, s = commands.add_sign(u, "GA.A")
-    found = signlist.variants(u).where(f"sign_id = {s}").collect()
+    found = signs.variants(u).where(f"sign_id = {s}").collect()
     assert len(found) == 1 and found[0].variant_type == "default"
     u, _ = commands.add_allograph_named(u, "GA", "E")
-    assert {r.variant_type for r in signlist.variants(u).where(f"sign_id = {s}").collect()} == {"default", "nondefault"}
+    assert {r.variant_type for r in signs.variants(u).where(f"sign_id = {s}").collect()} == {"default", "nondefault"}
     u, m = commands.add_allomorph(u, s, [g, g])
     assert u["allomorph_components"].where(f"allomorph_id = {m}").count() == 2
     with pytest.raises(LookupError):
@@ -54,7 +53,7 @@ def test_merge(t):
 def test_spelling_becomes_allograph(t):
     s = commands.sign_named(t["composed"], "A")
     u, m = commands.add_allomorph(t, s, "E")
-    u["sign_variants"] = signlist.numbered(signlist.variants(u), u["sign_variants"]).select(*[f.name for f in schema("sign_variants").fields])
+    u["sign_variants"] = signs.numbered(signs.variants(u), u["sign_variants"]).select(*[f.name for f in schema("sign_variants").fields])
     before = u["sign_variants"].where(f"allomorph_id = {m}").first().sign_variant_id
     u = commands.allomorph_to_allograph(u, m)
     after = u["sign_variants"].where(f"sign_variant_id = {before}").first()

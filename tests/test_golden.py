@@ -189,11 +189,6 @@ def test_levenshtein():
     assert have == list("sitting")
 
 
-@pytest.fixture(scope="module")
-def signlist(spark):
-    return mini.tables(spark)
-
-
 def test_serialized_text_reads_back(spark, signlist):
     codes = [c for c in CODES if "%person a" not in c and "a:A &|A.A|" not in c.replace("%st+ ", "x") or "%st+" in c]
     parsed = corpus.parse(spark.createDataFrame(list(enumerate(codes)), "transliteration_id int, code string"))

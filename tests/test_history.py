@@ -5,13 +5,6 @@ import pytest
 from glyphora.operators import corpus, corpus_search, editing, history, serialize
 from glyphora.plans.pattern import PatternError, branches, parse
 
-from . import mini
-
-
-@pytest.fixture(scope="module")
-def signlist(spark):
-    return mini.tables(spark)
-
 
 def load(spark, signlist, codes):
     parsed = corpus.parse(spark.createDataFrame(codes, "transliteration_id int, code string"))

@@ -1,4 +1,5 @@
-from glyphora.operators import names, signlist
+from glyphora.operators import names
+from glyphora.operators import signlist as signs
 from glyphora.operators.editing import pack, unpack
 from glyphora.schemas import KEYS, schema
 from glyphora.sources import tables
@@ -41,12 +42,12 @@ def test_pack_and_unpack(spark):
         assert sorted(map(repr, df.select(*t[name].columns).collect())) == sorted(map(repr, t[name].collect()))
 
 
-def test_variants_keep_their_numbers(spark):
-    t = mini.tables(spark)
-    found = signlist.variants(t)
-    again = signlist.numbered(found, t["sign_variants"])
+def test_variants_keep_their_numbers(signlist):
+    t = signlist
+    found = signs.variants(t)
+    again = signs.numbered(found, t["sign_variants"])
     assert sorted((r.allomorph_id, r.sign_variant_id) for r in again.collect()) == sorted((r.allomorph_id, r.sign_variant_id) for r in t["sign_variants"].collect())
-    assert signlist.signlist(t, t["composed"]).count() == sum(len(r) for _, r in mini.SIGNS)
+    assert signs.signlist(t, t["composed"]).count() == sum(len(r) for _, r in mini.SIGNS)
 
 
 def test_names(spark):
