@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +23,9 @@ from glyphora.llm._common import text_steps, texts_of
 SIZE = 1 << 18
 SHARES = np.array([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.4])
 #: Labelled rows that the linear model is fitted on at most (the ratios count all), and passes over them.
-FIT_ROWS, PASSES = 4_000, 10
+FIT_ROWS, PASSES = 2_000, 10
 #: Text of those rows at most; of longer texts fewer rows are taken.
-FIT_BYTES = 64 << 20
+FIT_BYTES = 32 << 20
 #: Cost of a margin violation, and weight of the fitted model against its mean size.
 COST, BETA = 1.0, 0.5
 #: Score from which a document is of good quality.
@@ -101,8 +102,9 @@ def class_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def sample(rows: DataFrame, most: int) -> list[tuple[int, np.ndarray]]:
-    """Features and class of at most `most` rows, and of FIT_BYTES of text about: those with the least hash of doc_id."""
+def sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features end to end, where each row's begin (and the end), and classes, of at most `most` rows, and of FIT_BYTES of text about: those
+    with the least hash of doc_id."""
     hashed = rows.select("text", "quality", F.xxhash64("doc_id").alias("h"))
     last = hashed.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]  # of ids alone: no text is sorted
     some = hashed.where(F.col("h") <= F.lit(last))
@@ -116,7 +118,11 @@ def sample(rows: DataFrame, most: int) -> list[tuple[int, np.ndarray]]:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *part.columns[1:]], ["found", "quality", "h"])
 
     table = some.mapInArrow(kernel, "found binary, quality int, h long").toArrow().sort_by([("h", "ascending"), ("quality", "ascending")])
-    return [(q, np.frombuffer(f, np.int32)) for f, q in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)]
+    found = table.column("found").cast(pa.large_binary()).combine_chunks()
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False))]).astype(np.int64) // 4
+    first = np.frombuffer(found.buffers()[1], np.int64)[found.offset] if len(found) else 0
+    flat = np.frombuffer(found.buffers()[2], np.int32, int(at[-1]), int(first)) if at[-1] else np.zeros(0, np.int32)
+    return flat, at, table.column("quality").to_numpy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -131,25 +137,24 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         return Model(np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0.0, 0.0, offset)
     smooth = count + 1.0
     ratios = np.log((smooth[1] / smooth[1, :].sum()) / (smooth[0] / smooth[0, :].sum())).astype(np.float32)
-    picked = sample(rows, fit_rows)
-    y = np.array([2 * q - 1 for q, _ in picked])
-    x = []
-    for _, found in picked:
-        v = ratios[found]
-        x.append((found, v / (float(np.sqrt(np.sum(v**2))) or 1.0)))
-    w, bias, alpha, order = np.zeros(SIZE), 0.0, np.zeros(len(x)), np.random.default_rng(0)
-    norms = np.array([float(v @ v) + 1.0 for _, v in x])
+    flat, at, classes = sample(rows, fit_rows)
+    y, n = 2 * classes.astype(np.int64) - 1, len(classes)
+    values = ratios[flat]
+    size = np.sqrt(np.bincount(np.repeat(np.arange(n), np.diff(at)), values.astype(np.float64) ** 2, n))
+    values /= np.repeat(np.where(size > 0, size, 1.0), np.diff(at)).astype(np.float32)
+    row = lambda i: (flat[at[i] : at[i + 1]], values[at[i] : at[i + 1]])
+    w, bias, alpha, order = np.zeros(SIZE), 0.0, np.zeros(n), np.random.default_rng(0)
     for _ in range(PASSES):
-        for i in order.permutation(len(x)):
-            found, v = x[i]
+        for i in order.permutation(n):
+            found, v = row(i)
             gradient = y[i] * (float(w[found] @ v) + bias) - 1.0
-            new = min(max(alpha[i] - gradient / norms[i], 0.0), COST)
+            new = min(max(alpha[i] - gradient / (float(v @ v) + 1.0), 0.0), COST)
             if step := (new - alpha[i]) * y[i]:
                 w[found] += step * v
                 bias += step
                 alpha[i] = new
     w = BETA * w + (1 - BETA) * np.abs(w).mean()  # between the fitted weights and plain naive Bayes
-    margins = np.array([float(w[found] @ v) + bias for found, v in x])
+    margins = np.array([float(w[found] @ v) + bias for found, v in map(row, range(n))])
     slope, offset = platt(margins, y)
     return Model((w * ratios).astype(np.float32), ratios, bias, slope, offset)
 

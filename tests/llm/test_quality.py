@@ -50,7 +50,7 @@ def test_counts(spark):
 
 def test_edges(spark):
     docs = edge_documents(spark)
-    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (7, 1), (8, 0), (10, 1), (10, 0)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (7, 1), (8, 0), (10, 1), (10, 0), (4, 1), (5, 0), (6, 0), (9, 1)], "doc_id long, quality int")
     rows = quality.classify(docs, labels).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert quality.keep_good(docs, labels).columns == docs.columns and "score" in CLASH
