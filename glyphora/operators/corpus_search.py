@@ -217,10 +217,15 @@ def respell(t: dict[str, DataFrame], links: DataFrame, code: str, signlist: dict
         spelling.append([rewriting.Sign(p.row | {"sign_variant_id": r.sign_variant_id}, tuple(r.glyph_ids), p.link, p.capital, p.compound) for r in options])
     linked = links.groupBy(KEY).agg(F.sort_array(F.collect_set("compound_no")).alias("compounds_linked"))
 
-    def make(old: editing.Text, row: dict) -> editing.Text:
-        glyphs, new = _glyphs(row), old
-        for no in sorted((int(n) for n in row["compounds_linked"]), reverse=True)[:1]:
-            new = rewriting.respell(old, glyphs, no, spelling)
-        return new
+    known = {p.row["sign_variant_id"]: p.glyphs for options in spelling for p in options}
 
-    return editing.change(editing.pack(t), linked.join(_with_glyphs(t, signlist["composed"]), KEY), _apply(make))
+    def change(text: editing.Text, row: dict) -> None:
+        glyphs = known | dict(zip((r["sign_variant_id"] for r in text.tables["corpus"]), _glyphs(row), strict=True))
+        for no in sorted((int(n) for n in row["compounds_linked"]), reverse=True):  # the last first, so that the numbers of the others stay
+            try:
+                new = rewriting.respell(text, [glyphs[r["sign_variant_id"]] for r in text.tables["corpus"]], no, spelling)
+            except rewriting.Invalid:
+                continue
+            editing.edit(text, new)
+
+    return editing.change(editing.pack(t), linked.join(_with_glyphs(t, signlist["composed"]), KEY), change)

@@ -630,6 +630,40 @@ def pn_prefix_match(spark, sf_dir):
     return names.prefix_matches(compounds, known.select("kind", "x.*"), ["tid", "compound_no"], ["name"])
 
 
+@query(f"""WITH {B2}, f AS (SELECT min_by(p_name, p_partkey) AS name FROM part), c AS (SELECT tid, min(sign_no) AS sign_no FROM b2 GROUP BY tid, compound_no)
+SELECT tid, count(*)::INTEGER AS n, string_agg(sign_no, ',' ORDER BY sign_no) AS written FROM c JOIN b2 USING (tid, sign_no) JOIN part ON p_partkey = value_id, f WHERE p_name = f.name GROUP BY tid""")
+def pn_alignment(spark, sf_dir):
+    """Orders whose parts are written as signs (a word each, as runs of flags don't keep to compounds), with each compound that the first part's name
+    begins written like that name: which signs have changed."""
+    from glyphora.operators import corpus_search, editing, encoder, signlist
+
+    t, composed = _signlist(spark, sf_dir)
+    t |= {"composed": composed, "sign_map": signlist.sign_map(t), "values_encoded": encoder.values_encoded(t, composed), "signs_encoded": encoder.signs_encoded(composed)}
+    part = bind.table(spark, sf_dir, "part")
+    first = part.agg(F.min_by("p_name", "p_partkey")).first()[0]
+    spelled = part.select(F.col("p_partkey").alias("value_id"), F.min(F.col("p_partkey").cast("int")).over(Window.partitionBy("p_name")).alias("sign_id"), (F.col("p_name") == F.lit(first)).alias("linked"))
+    signs = bind.order_signs(spark, sf_dir).join(spelled, "value_id").join(composed.where("specific").select("sign_id", "sign_variant_id"), "sign_id")
+    signs = signs.withColumn("stem", F.col("sign_no") == F.min("sign_no").over(Window.partitionBy("tid", "compound_no")))
+    none, no, own = lambda k: F.lit(None).cast(k), F.lit(False), F.col("tid").cast("int").alias(corpus_search.KEY)
+    each = lambda *c: signs.select(own, *c).distinct()
+    tables = {
+        "sections": each(F.lit(0).alias("section_no"), none("string").alias("section_name"), none("int").alias("composition_id")).limit(0),
+        "compounds": each("compound_no", none("string").alias("pn_type"), none("string").alias("language"), none("int").alias("section_no"), none("string").alias("compound_comment")),
+        "words": each(F.col("sign_no").alias("word_no"), "compound_no", no.alias("capitalized")),
+        "surfaces": each(F.lit(0).alias("surface_no"), F.lit("surface").alias("surface_type"), none("string").alias("surface_data"), none("string").alias("surface_comment")),
+        "blocks": each(F.lit(0).alias("block_no"), F.lit(0).alias("surface_no"), F.lit("block").alias("block_type"), none("string").alias("block_data"), none("string").alias("block_comment")),
+        "lines": each("line_no", F.lit(0).alias("block_no"), F.col("line_no").cast("string").alias("line"), none("string").alias("line_comment")),
+        "corpus": signs.select(
+            own, "sign_no", "line_no", F.col("sign_no").alias("word_no"), none("int").alias("value_id"), "sign_variant_id", none("string").alias("custom_value"), F.lit("sign").alias("type"), F.lit("none").alias("indicator_type"), none("boolean").alias("phonographic"),
+            "stem", F.lit("intact").alias("condition"), none("string").alias("crits"), none("string").alias("comment"), no.alias("newline"), no.alias("inverted"), no.alias("ligature"),
+        ),
+    }
+    links = signs.where("linked and stem").select(own, "compound_no")
+    out = corpus_search.respell(tables, links, f"{first.replace(' ', '')}1", t)
+    written = F.filter(F.transform("corpus", lambda r, i: F.when(r["value_id"].isNotNull(), i)), lambda i: i.isNotNull())
+    return out.select(F.col(corpus_search.KEY).cast("bigint").alias("tid"), F.size(written).alias("n"), F.array_join(written, ",").alias("written"))
+
+
 @query("""WITH n AS (SELECT p_partkey AS id, string_split(upper(p_name), ' ') AS w FROM part)
 SELECT id, w[1] || '.' || w[2] || '.C' AS chain, '(' || w[1] || '.C)&(' || w[2] || '.D)' AS stacks, w[1] || '@t×(' || w[2] || '.A)' AS kept, true AS matched FROM n""")
 def sign_tree(spark, sf_dir):

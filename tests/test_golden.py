@@ -226,3 +226,17 @@ def test_encode_again(spark, signlist):
     key = lambda df: sorted((r.sign_no, r.value_id, r.sign_variant_id, r.custom_value) for r in df.select("sign_no", "value_id", "sign_variant_id", "custom_value").collect())
     none = lambda rows: [tuple(-1 if v is None else v for v in r) for r in rows]
     assert none(key(again.fillna(-1, ["value_id"]))) == none(key(tables["corpus"].fillna(-1, ["value_id"])))
+
+
+def test_each_linked_compound_is_respelled(spark, signlist):
+    codes = [(1, "1\tdiri e diri\n2\tki diri"), (2, "1\tdiri e"), (3, "1\tdiri")]
+    parsed = corpus.parse(spark.createDataFrame(codes, "transliteration_id int, code string"))
+    parsed = spark.createDataFrame(parsed.collect(), parsed.schema)
+    tables = {k: spark.createDataFrame(v.collect(), v.schema) for k, v in corpus.ingest(parsed, signlist).items()}
+    links = spark.createDataFrame([(1, 0), (1, 2), (1, 3), (1, 4), (2, 0)], "transliteration_id int, compound_no int")
+    out = corpus_search.respell(tables, links, "si-a", signlist)
+    out = spark.createDataFrame(out.collect(), out.schema)
+    code = lambda p: {r.transliteration_id: r.content for r in serialize.serialize(editing.unpack(p), signlist["characters"]).collect()}
+    assert code(out) == {1: "1\tsi-a e si-a\n2\tki si-a", 2: "1\tsi-a e"}
+    log = out.selectExpr("transliteration_id", "explode(log) as x").select("transliteration_id", "x.*")
+    assert code(editing.revert(out, log)) == {k: c for k, c in codes if k < 3}
