@@ -2,7 +2,7 @@
 
 Numbers, names and units become typed placeholders; what is left are templates, in which a question with other
 numbers or names is the same. Hashes of template windows of the documents are joined to those of the benchmark; hits
-that agree in document, item and offset are one alignment. Its slots are consistent if the fillings of item and
+that agree in document, item and offset are one alignment. Windows with few literal words are joined by their words as they are. Its slots are consistent if the fillings of item and
 document match one to one: one filling always stands for the same other.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from glyphora.llm._common import keyed, text_steps, window_hashes, words_of, written
 
-#: Words of a window, and how many of them must not be placeholders (of a shorter item: more than half).
+#: Words of a window, and how many of them must not be placeholders (of a shorter item: more than half) for other fillings to match.
 WINDOW, LITERAL = 8, 5
 #: Words that an alignment must cover: so many, or this share of a shorter item.
 COVER, SHARE = 13, 0.6
@@ -36,6 +36,8 @@ UNITS = frozenset(
 )
 QUANTITY = re.compile(rb"([$]?\d[\d.,]*)([a-z]+)$")
 _NUM, _UNIT, _NAME, _BOTH = (xxhash.xxh64_intdigest(x, 1) for x in (b"<number>", b"<unit>", b"<name>", b"<quantity>"))
+#: Tells hashes of windows as they are from those of templates.
+_SAID = np.uint64(0x5A1D5A1D5A1D5A1D)
 
 
 def _kind(word: bytes) -> tuple[int, int, bool, bool]:
@@ -57,8 +59,9 @@ def _kind(word: bytes) -> tuple[int, int, bool, bool]:
     return xxhash.xxh64_intdigest(letters.lower().encode(), 2), fill if name else 0, name, ends
 
 
-def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts end to end: template hashes, fillings (0: no placeholder); and how many words each has.
+def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts end to end: template hashes, fillings (0: no placeholder), hashes of the words as they are, whether they may be names; and
+    how many words each text has.
 
     A capitalised word is a name unless it begins a text or follows the end of a sentence.
     """
@@ -71,33 +74,42 @@ def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begins[1:] = ends[:-1]
     first = np.cumsum(sizes) - sizes
     begins[first[sizes > 0]] = True
+    capital, said = name.copy(), np.where(name | (fill == 0), template, fill)
     name &= ~begins
     plain = np.array([k[2] for k in kinds], bool)[index] & begins
-    return np.where(name, np.uint64(_NAME), template), np.where(plain, np.uint64(0), fill), sizes
+    return np.where(name, np.uint64(_NAME), template), np.where(plain, np.uint64(0), fill), said, capital, sizes
 
 
 def _windows(texts: pa.Array, length: int, literal: int) -> tuple[pa.Array, np.ndarray]:
-    """Windows of all texts end to end as struct (pos, h, fills), and how many each text has."""
-    template, fill, sizes = canonical(texts)
+    """Windows of all texts end to end as struct (pos, h, fills), and how many each text has.
+
+    Windows with enough literal words are templates. The others are hashed as they are, without slots; so is, once more, a window whose first
+    word is a name or none by what stands before it.
+    """
+    template, fill, said, capital, sizes = canonical(texts)
     h = window_hashes(template, length)
     slots = np.concatenate([[0], np.cumsum(fill != 0)])
     begin, end = slots[: len(h)], slots[length : length + len(h)]
     ends = np.cumsum(sizes)
     text = np.repeat(np.arange(len(sizes)), sizes)[: len(h)]
-    keep = (ends[text] - np.arange(len(h)) >= length) & (length - (end - begin) >= literal)
-    at = np.flatnonzero(keep)
-    n = (end - begin)[at]
+    inside, enough = ends[text] - np.arange(len(h)) >= length, length - (end - begin) >= literal
+    as_template, as_said = np.flatnonzero(inside & enough), np.flatnonzero(inside & (~enough | capital[: len(h)]))
+    at = np.concatenate([as_template, as_said])
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    h = np.concatenate([h[as_template], window_hashes(said, length)[as_said] ^ _SAID])[order]
+    n = np.concatenate([(end - begin)[as_template], np.zeros(len(as_said), np.int64)])[order]
     fills = fill[fill != 0].view(np.int64)[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(fills), mask=pa.array(n == 0))
     pos = (at - (ends - sizes)[text[at]]).astype(np.int32)
-    return pa.StructArray.from_arrays([pa.array(pos), pa.array(h[at].view(np.int64)), lists], ["pos", "h", "fills"]), np.bincount(text[at], minlength=len(sizes))
+    return pa.StructArray.from_arrays([pa.array(pos), pa.array(h.view(np.int64)), lists], ["pos", "h", "fills"]), np.bincount(text[at], minlength=len(sizes))
 
 
 _FOUND = "array<struct<pos:int,h:long,fills:array<long>>>"
 
 
 def windows(rows: DataFrame, keys: list[str], length: int, literal: int) -> DataFrame:
-    """rows (keys, text) -> one row per window with enough literal words: keys, pos int, h long, fills array<long> (null: none)."""
+    """rows (keys, text) -> a row per window (two, where `_windows` hashes it twice): keys, pos int, h long, fills array<long> (null: none)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

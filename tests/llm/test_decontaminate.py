@@ -61,3 +61,10 @@ def test_edges(spark):
 def test_a_large_benchmark_is_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SMALL", 0)
     assert found(spark, [ITEM], [ITEM]) == {(0, 0)}
+
+
+def test_copies_dense_in_placeholders(spark):
+    title = "What Is The Capital City Of The Republic Of France And When Was It Founded By The Romans"
+    sums = "Compute 12 + 15 , 18 + 22 , 31 + 47 , 52 + 60 , 71 + 80 and report 5 sums"
+    texts = [f"so he asked {title} today", f"Here: {sums} .", title.replace("Capital City", "Largest Town").replace("France And", "Spain Or"), "Compute 1 + 2 , 3 + 4 , 5 + 6 , 7 + 8 , 9 + 10 and tell 5 sums", "say Paris 7 now"]
+    assert found(spark, texts, [title, sums, "Paris 7"]) == {(0, 0), (1, 1), (4, 2)}
