@@ -3,7 +3,7 @@
 Features are hashed n-gram indicators of a whole text: byte 3- and 4-grams, and word bigrams reduced to whether a
 word is repeated at once, in steps of its share. The class log-count ratios count every labelled training
 row; a linear hinge-loss model over indicators scaled by these ratios is fitted by dual coordinate descent on
-at most `fit_rows` training rows, and Platt's sigmoid turns its margin into a score.
+at most `fit_rows` training rows, as many of each class if there are, and Platt's sigmoid turns its margin into a score.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +22,7 @@ from glyphora.llm._common import text_steps, texts_of
 SIZE = 1 << 18
 SHARES = np.array([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.4])
 #: Labelled rows that the linear model is fitted on at most (the ratios count all), and passes over them.
-FIT_ROWS, PASSES = 2_000, 10
-#: Text of those rows at most; of longer texts fewer rows are taken.
-FIT_BYTES = 32 << 20
+FIT_ROWS, PASSES = 6_000, 10
 #: Cost of a margin violation, and weight of the fitted model against its mean size.
 COST, BETA = 1.0, 0.5
 #: Score from which a document is of good quality.
@@ -71,14 +68,15 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows (doc_id, text, quality); repeated rows count as often as they are given.
+    """Training rows (doc_id, text, h, quality), h being a hash of doc_id and text; repeated rows count as often as they are given.
 
     Documents whose labels disagree or are null take no part.
     """
     own = labels.where("quality in (0, 1)").where(train_flag(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     own = own.where("quality = other").select("doc_id", F.col("quality").cast("int").alias("quality"))
     # The labels' side is hashed, never broadcast: it grows with the corpus. Only training texts are shuffled.
-    texts = docs.where(train_flag(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.where(train_flag(F.col("doc_id"))).select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("h"))
     return texts.join(own.hint("shuffle_hash"), "doc_id")
 
 
@@ -102,27 +100,42 @@ def class_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features end to end, where each row's begin (and the end), and classes, of at most `most` rows, and of FIT_BYTES of text about: those
-    with the least hash of doc_id."""
-    hashed = rows.select("text", "quality", F.xxhash64("doc_id").alias("h"))
-    last = hashed.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]  # of ids alone: no text is sorted
-    some = hashed.where(F.col("h") <= F.lit(last))
-    size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a text has at most as many features as bytes
-    some = some.limit(most if size <= FIT_BYTES else max(1, int(most * FIT_BYTES / size)))
+def packed(found: np.ndarray) -> bytes:
+    """A text's features as numbers or, if that is shorter, a bit each: SIZE / 8 bytes at most, however long the text."""
+    if 32 * len(found) < SIZE:
+        return found.tobytes()
+    seen = np.zeros(SIZE, bool)
+    seen[found] = True
+    return np.packbits(seen).tobytes()
+
+
+def unpacked(found: bytes) -> np.ndarray:
+    if 8 * len(found) < SIZE:
+        return np.frombuffer(found, np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(found, np.uint8)))
+
+
+def sample(rows: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """Packed features, and classes, of `most` rows or all: of each class those with the least h, half of them or more if the other has fewer."""
+    least = [np.sort(rows.where(F.col("quality") == c).select("h").orderBy("h").limit(most).toArrow().column(0).to_numpy()) for c in (0, 1)]  # no text is sorted
+    takes = [min(len(own), max(most // 2, most - len(other))) for own, other in (least, least[::-1])]
+    wanted = [(h, c) for c in (0, 1) for h in least[c][: takes[c]].tolist()]  # one that is there twice is a repeated row
+    some = rows.where(F.col("h").isin(sorted({h for h, _ in wanted}))).select("text", "quality", "h")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for part in text_steps(batch, "text"):
-                found = [features(t).tobytes() for t in texts_of(part)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *part.columns[1:]], ["found", "quality", "h"])
+                keys = list(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True))
+                fresh = [k for k, key in enumerate(keys) if not (key in seen or seen.add(key))]
+                new = part.take(pa.array(fresh, pa.int64()))
+                found = [packed(features(t)) for t in texts_of(new)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *new.columns[1:]], ["found", "quality", "h"])
 
-    table = some.mapInArrow(kernel, "found binary, quality int, h long").toArrow().sort_by([("h", "ascending"), ("quality", "ascending")])
-    found = table.column("found").cast(pa.large_binary()).combine_chunks()
-    at = np.concatenate([[0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False))]).astype(np.int64) // 4
-    first = np.frombuffer(found.buffers()[1], np.int64)[found.offset] if len(found) else 0
-    flat = np.frombuffer(found.buffers()[2], np.int32, int(at[-1]), int(first)) if at[-1] else np.zeros(0, np.int32)
-    return flat, at, table.column("quality").to_numpy()
+    once = some.mapInArrow(kernel, "found binary, quality int, h long").groupBy("quality", "h").agg(F.min("found").alias("found")).toArrow()
+    held = {(h, c): x for c, h, x in zip(*(once.column(k).to_pylist() for k in range(3)), strict=True)}
+    wanted.sort()
+    return [held[key] for key in wanted], np.array([c for _, c in wanted], np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -137,12 +150,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         return Model(np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0.0, 0.0, offset)
     smooth = count + 1.0
     ratios = np.log((smooth[1] / smooth[1, :].sum()) / (smooth[0] / smooth[0, :].sum())).astype(np.float32)
-    flat, at, classes = sample(rows, fit_rows)
+    found_of, classes = sample(rows, fit_rows)
     y, n = 2 * classes.astype(np.int64) - 1, len(classes)
-    values = ratios[flat]
-    size = np.sqrt(np.bincount(np.repeat(np.arange(n), np.diff(at)), values.astype(np.float64) ** 2, n))
-    values /= np.repeat(np.where(size > 0, size, 1.0), np.diff(at)).astype(np.float32)
-    row = lambda i: (flat[at[i] : at[i + 1]], values[at[i] : at[i + 1]])
+
+    def row(i: int) -> tuple[np.ndarray, np.ndarray]:
+        found = unpacked(found_of[i])
+        v = ratios[found]
+        return found, v / np.float32(np.sqrt(np.sum(v.astype(np.float64) ** 2)) or 1.0)
+
     w, bias, alpha, order = np.zeros(SIZE), 0.0, np.zeros(n), np.random.default_rng(0)
     for _ in range(PASSES):
         for i in order.permutation(n):

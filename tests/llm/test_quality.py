@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from glyphora.llm import quality
 
@@ -59,3 +60,19 @@ def test_edges(spark):
     assert {r.predicted for r in quality.classify(docs, labels.where("quality = 1")).collect()} == {1}
     assert {r.predicted for r in quality.classify(docs, labels.where("quality = 0")).collect()} == {0}
     assert quality.classify(empty_documents(spark), labels).count() == 0
+
+
+def test_sample_is_of_rows_whatever_their_length_and_order(spark):
+    docs, labels, truth = corpus(spark, 60)
+    one = spark.createDataFrame([(1000, "".join(map(chr, random.Random(3).choices(range(32, 4000), k=18_000_000))))], docs.schema)  # over 32 MB
+    docs, labels = docs.union(one), labels.union(spark.createDataFrame([(1000, 1, 0)], labels.schema))
+    assert zlib.crc32(b"1000") % 4 != 2
+    train = [q for i, q in truth.items() if zlib.crc32(str(i).encode()) % 4 != 2] + [1]
+    found, classes = quality.sample(quality.labelled(docs, labels), 1000)
+    assert sorted(classes) == sorted(train) and max(map(len, found)) == quality.SIZE // 8
+    found, classes = quality.sample(quality.labelled(docs, labels), 20)
+    assert list(np.bincount(classes)) == [10, 10]
+    again = quality.sample(quality.labelled(docs.orderBy(F.desc("doc_id")).repartition(7), labels), 20)
+    assert again[0] == found and (again[1] == classes).all()
+    twice = quality.sample(quality.labelled(docs.where("doc_id < 60").union(docs.where("doc_id < 60")), labels), 1000)
+    assert len(twice[1]) == 2 * len(train) - 2
