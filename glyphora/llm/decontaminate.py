@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders; what is left are templates, in which a question with other
 numbers or names is the same. Hashes of template windows of the documents are joined to those of the benchmark; hits
-that agree in document, item and offset are one alignment. Windows with few literal words are joined by their words as they are. Its slots are consistent if the fillings of item and
-document match one to one: one filling always stands for the same other.
+that agree in document, item and offset are one alignment. Windows with few literal words are joined by their words as they are. Its slots are consistent if a filling of the item
+always stands for the same one of the document; if they aren't, only windows with the item's own fillings count.
 """
 
 from __future__ import annotations
@@ -124,8 +124,8 @@ def windows(rows: DataFrame, keys: list[str], length: int, literal: int) -> Data
 
 
 def alignments(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int = WINDOW, literal: int = LITERAL) -> DataFrame:
-    """docs (keys, text), benchmark (item_id, text) -> (keys, item_id, start, covered, share): alignments with
-    consistent slots that cover COVER words or, of items shorter than COVER / SHARE, the share SHARE; the best of each pair.
+    """docs (keys, text), benchmark (item_id, text) -> (keys, item_id, start, covered, share): alignments that by
+    windows with consistent slots cover COVER words or, of items shorter than COVER / SHARE, the share SHARE; the best of each pair.
 
     start: where the aligned item would begin, in words of the document (it may be below 0); covered: words. Items
     shorter than a window are one window as they are; empty ones and null item_ids never match.
@@ -146,10 +146,10 @@ def alignments(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: i
     pairs = F.when(F.size("own") == F.size("fills"), F.arrays_zip("own", "fills"))
     hits = hits.withColumn("pairs", F.when(F.col("own").isNull() & F.col("fills").isNull(), none).otherwise(pairs))
     votes = hits.where("pairs is not null").groupBy(*keys, "item_id", "n_item", "start").agg(
-        F.collect_set(F.struct("at", "w")).alias("ats"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
+        F.collect_set(F.struct("at", "w")).alias("ats"), F.collect_set(F.when(F.col("own").eqNullSafe(F.col("fills")), F.struct("at", "w"))).alias("same"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )  # at most an item's windows each (and their repeats where rows of docs repeat)
-    size_of = lambda c: F.size(F.array_distinct(F.transform("pairs", lambda p: p[c])))
-    votes = votes.where((size_of("own") == F.size("pairs")) & (size_of("fills") == F.size("pairs")))
+    agree = F.size(F.array_distinct(F.transform("pairs", lambda p: p["own"]))) == F.size("pairs")
+    votes = votes.withColumn("ats", F.when(agree, F.col("ats")).otherwise(F.col("same"))).where(F.size("ats") > 0)
     words = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a["at"], a["at"] + a["w"] - 1))))
     votes = votes.withColumn("covered", F.size(words)).withColumn("share", F.col("covered") / F.col("n_item"))
     votes = votes.where((F.col("covered") >= COVER) | (F.col("share") >= SHARE))
