@@ -18,7 +18,7 @@ KEY = "transliteration_id"
 
 def relation(t: dict[str, DataFrame], composed: DataFrame) -> DataFrame:
     """transliteration_id, sign_no, pos, next_pos, word_no, compound_no, line_no, value_id, sign_variant_id, grapheme_id, glyph_id, type,
-    indicator_type, phonographic: a row per sign, and per component of it; with pseudo rows at both ends."""
+    indicator_type, phonographic: a row per sign, and per component of it; and whether words, compounds and lines start and end with its sign."""
     about = ["sign_no", "word_no", "compound_no", "line_no", "type", "indicator_type", "phonographic"]
     signs = t["corpus"].join(t["words"].select(KEY, "word_no", "compound_no"), [KEY, "word_no"])
     at = position.pack(F.col("sign_no"), F.lit(0), F.lit(True))
@@ -44,32 +44,28 @@ class Dictionary:
         known = encoder.normalized(rows.sparkSession.createDataFrame([(spec,)], "s string"), self.s["sign_map"]).first()
         return rows.where(F.col("sign_spec") == (known.glyphs if known else ""))
 
-    def condition(self, leaf: Leaf) -> Column:
+    def condition(self, leaf: Leaf) -> Column | plan.Lookup:
         found = self._literal(leaf)
+        also = F.lit(True)
         if leaf.indicator:
-            found = found & (F.col("phonographic") == (leaf.indicator == "P")) & (F.col("indicator_type") != "none")
+            also = also & (F.col("phonographic") == (leaf.indicator == "P")) & (F.col("indicator_type") != "none")
         if leaf.side:
-            found = found & (F.col("indicator_type") == ("right" if leaf.side == "left" else "left"))
-        return found & ~F.col("pseudo")
+            also = also & (F.col("indicator_type") == ("right" if leaf.side == "left" else "left"))
+        return plan.Lookup(found, also) if isinstance(found, DataFrame) else found & also
 
-    def _literal(self, leaf: Leaf) -> Column:
-        no = F.lit(False)
+    def _literal(self, leaf: Leaf) -> Column | DataFrame:
+        """What a leaf stands for: a condition, or a table of ids, however many, that the relation is joined to."""
         if leaf.kind in ("value", "pattern"):
             names = self.s["value_variants"] if leaf.spec is None else self._spec(self.s["values_encoded"], leaf.spec)
             like = F.col("value") == leaf.text if leaf.kind == "value" else F.col("value").rlike(f"^(?:{leaf.text})([0-9]+|x)?$")
             columns = ["value_id"] if leaf.spec is None else ["value_id", "sign_variant_id"]
-            ids = [tuple(r) for r in names.where(like).select(*columns).distinct().collect()]
-            out = no
-            for i in ids:
-                one = F.col("value_id") == i[0]
-                out = out | (one if len(i) == 1 else one & (F.col("sign_variant_id") == i[1]))
-            return out
+            return names.where(like).select(*columns).distinct()
         if leaf.kind == "sign":
             known = encoder.normalized(self.s["composed"].sparkSession.createDataFrame([(leaf.text,)], "s string"), self.s["sign_map"]).first()
             rows = self._spec(self.s["signs_encoded"].where(F.col("sign") == (known.glyphs if known else "")), leaf.spec)
             own = self.s["composed"].select("sign_id", "sign_variant_id")
             same = rows.select("sign_variant_id").join(own, "sign_variant_id").select("sign_id").distinct().join(own, "sign_id") if leaf.spec is None else rows
-            return F.col("sign_variant_id").isin([r.sign_variant_id for r in same.select("sign_variant_id").distinct().collect()])
+            return same.select("sign_variant_id").distinct()
         if leaf.kind == "component":
             kind, number = leaf.text.split(":")
             return F.col("grapheme_id" if kind == "g" else "glyph_id") == int(number)
@@ -101,10 +97,7 @@ class Dictionary:
 def search(rows: DataFrame, text: str, signlist: dict[str, DataFrame]) -> DataFrame:
     """transliteration_id, signs, words, lines, captures of a pattern over a `relation`; each match once."""
     words = Dictionary(signlist)
-    found = None
-    for branch in branches(words.expanded(parse(text))):
-        one = plan.branch_matches(rows, branch, [KEY], words.condition, lambda: F.col("pseudo"))
-        found = one if found is None else found.unionByName(one)
+    found = plan.matches(rows, branches(words.expanded(parse(text))), [KEY], words.condition)
     flat = found.withColumn("captures", F.map_entries("captures")).distinct()
     return flat.withColumn("captures", F.when(F.col("captures").isNotNull(), F.map_from_entries("captures")))
 

@@ -1,81 +1,126 @@
 """Patterns -> joins over a search relation.
 
 The relation has one row per sign (and per component, where there are any): key column(s), sign_no, pos, next_pos,
-word_no, compound_no, line_no and what the leaves' conditions need. Each branch of a pattern is a chain of joins on
-the text's key; adjacency is an equi-join of next_pos to pos, and same word or compound are equi-joins as well. A
-branch's rows are filtered by its leaves before any join.
+word_no, compound_no, line_no and what the leaves' conditions need. It is read once: the rows that any leaf stands for are
+marked with the leaves that they match, and written. Each branch of a pattern is a chain of joins of these few rows on
+the text's key; adjacency is an equi-join of next_pos to pos, and same word, compound or line are equi-joins as well. A break at an
+end of the pattern is a condition on the first or last sign, so it needs no join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glyphora.functions.position import sorted_distinct
 from glyphora.plans.pattern import Branch, Leaf, branches, parse
+from glyphora.sources.store import materialized
 
 _NUMBERS = ["sign_no", "pos", "next_pos", "word_no", "compound_no", "line_no"]
+_BREAKS = {"other_word": "word", "other_compound": "compound", "other_line": "line"}
 
 
-def _leaf(relation: DataFrame, leaf: Leaf, k: int, keys: list[str], condition: Callable[[Leaf], Column], edge: Callable[[], Column]) -> DataFrame:
-    rows = relation.where(edge() if leaf.kind == "edge" else condition(leaf))
-    return rows.select(*keys, *[F.col(c).alias(f"{c}{k}") for c in _NUMBERS])
+@dataclass(frozen=True)
+class Lookup:
+    """Rows that a leaf stands for: those whose columns are in a table of distinct rows, and meet a condition."""
 
+    table: DataFrame
+    also: Column
 
-def branch_matches(relation: DataFrame, branch: Branch, keys: list[str], condition: Callable[[Leaf], Column], edge: Callable[[], Column]) -> DataFrame:
-    """keys, signs, words, lines: sorted distinct numbers of the match; captures: map of capture number -> sign numbers."""
-    rows = _leaf(relation, branch.leaves[0], 0, keys, condition, edge)
-    for k, leaf in enumerate(branch.leaves[1:], 1):
+
+def with_edges(relation: DataFrame, keys: list[str]) -> DataFrame:
+    """The relation with starts_word, starts_compound, starts_line and ends_… (booleans): whether the sign before or after is in another one, or there is none."""
+    before, after = (Window.partitionBy(*keys).orderBy("sign_no").rangeBetween(n, n) for n in (-1, 1))
+    other = lambda c, w: F.coalesce(F.max(c).over(w) != F.col(c), F.lit(True))
+    return relation.withColumns({f"{side}_{n}": other(f"{n}_no", w) for n in _BREAKS.values() for side, w in (("starts", before), ("ends", after))})
+
+
+def _place(branch: Branch) -> tuple[list[int], dict[int, frozenset[str]]]:
+    """A branch's leaves that are signs, and the columns that must be true at the first and last of them."""
+    own = [k for k, leaf in enumerate(branch.leaves) if leaf.kind != "edge"]
+    must: dict[int, frozenset[str]] = {}
+    for at, edge, sep, side in ((own[0], 0, 0, "starts"), (own[-1], -1, -1, "ends")):
+        if branch.leaves[edge].kind == "edge":
+            must[at] = must.get(at, frozenset()) | {f"{side}_{_BREAKS[b]}" for b in branch.between[sep] if b in _BREAKS}
+    return own, must
+
+
+def _marked(relation: DataFrame, wanted: list[tuple[Leaf, frozenset[str]]], condition: Callable[[Leaf], Column | Lookup], kept: list[str]) -> DataFrame:
+    """Rows that match any wanted leaf, and m0, m1, …: whether they match that one."""
+    marks = {}
+    for n, (leaf, must) in enumerate(wanted):
+        is_it = condition(leaf)
+        if isinstance(is_it, Lookup):
+            on = is_it.table.columns
+            found = is_it.table.select(*[F.col(c).alias(f"_{n}_{c}") for c in on], F.lit(True).alias(f"_{n}"))
+            relation = relation.join(found, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{n}_{c}") for c in on]), "left")
+            is_it = F.col(f"_{n}").isNotNull() & is_it.also
+        start = F.col("pos") == F.shiftleft(F.col("sign_no").cast("long"), 7)
+        end = F.col("next_pos") == F.shiftleft(F.col("sign_no").cast("long") + 1, 7)
+        for c in sorted(must):
+            is_it = is_it & F.col(c) & (start if c.startswith("starts") else end)
+        marks[f"m{n}"] = F.coalesce(is_it, F.lit(False))
+    rows = relation.where(reduce(lambda a, b: a | b, marks.values()))
+    return rows.select(*kept, *[m.alias(name) for name, m in marks.items()])
+
+
+def _branch(rows: DataFrame, branch: Branch, keys: list[str], marks: list[str], show: str | None) -> DataFrame:
+    own = _place(branch)[0]
+    numbered = [*_NUMBERS, *([show] if show else [])]
+    out = None
+    for mark, k in zip(marks, own, strict=True):
+        one = rows.where(mark).select(*keys, *[F.col(c).alias(f"{c}{k}") for c in numbered])
+        if out is None:
+            out = one
+            continue
         sep, a = branch.between[k - 1], k - 1
-        after = _leaf(relation, leaf, k, keys, condition, edge).withColumnsRenamed({c: f"_{c}" for c in keys})
-        on = [rows[c] == after[f"_{c}"] for c in keys]
-        on.append(rows[f"pos{a}"] < after[f"pos{k}"] if "later" in sep else rows[f"next_pos{a}"] == after[f"pos{k}"])
+        one = one.withColumnsRenamed({c: f"_{c}" for c in keys})
+        on = [out[c] == one[f"_{c}"] for c in keys]
+        on.append(out[f"pos{a}"] < one[f"pos{k}"] if "later" in sep else out[f"next_pos{a}"] == one[f"pos{k}"])
         for name, column in (("word", "word_no"), ("compound", "compound_no")):
             if name in sep:
-                on.append(rows[f"{column}{a}"] == after[f"{column}{k}"])
-        for name, column in (("other_word", "word_no"), ("other_compound", "compound_no"), ("other_line", "line_no")):
+                on.append(out[f"{column}{a}"] == one[f"{column}{k}"])
+        for name, column in _BREAKS.items():
             if name in sep:
-                on.append(rows[f"{column}{a}"] != after[f"{column}{k}"])
+                on.append(out[f"{column}_no{a}"] != one[f"{column}_no{k}"])
         for line in branch.lines:
             if k in line and line[0] < k:
-                on.append(rows[f"line_no{line[0]}"] == after[f"line_no{k}"])
-        rows = rows.join(after, reduce(lambda x, y: x & y, on)).drop(*[f"_{c}" for c in keys])
-    own = [k for k, leaf in enumerate(branch.leaves) if leaf.kind != "edge"]
+                on.append(out[f"line_no{line[0]}"] == one[f"line_no{k}"])
+        out = out.join(one, reduce(lambda x, y: x & y, on)).drop(*[f"_{c}" for c in keys])
     numbers = lambda column, ks: sorted_distinct(F.array(*[F.col(f"{column}{k}") for k in ks]))
     pairs = [x for c, ks in branch.captures for x in (F.lit(c), numbers("sign_no", ks))]
     captures = F.create_map(*pairs) if pairs else F.lit(None)
-    return rows.select(*keys, numbers("sign_no", own).alias("signs"), numbers("word_no", own).alias("words"), numbers("line_no", own).alias("lines"), captures.cast("map<int,array<int>>").alias("captures"))
+    shown = [F.array(*[F.col(f"{show}{k}") for k in own]).alias("shown")] if show else []
+    found = [numbers(c, own).alias(name) for c, name in (("sign_no", "signs"), ("word_no", "words"), ("line_no", "lines"))]
+    return out.select(*keys, *found, captures.cast("map<int,array<int>>").alias("captures"), *shown)
 
 
-def search(relation: DataFrame, text: str, condition: Callable[[Leaf], Column], keys: list[str] | None = None, edge: Callable[[], Column] | None = None, aliases: bool = True) -> DataFrame:
-    """Matches of a pattern: one row per way to match; a way that two branches share comes once for each.
+def matches(relation: DataFrame, found: list[Branch], keys: list[str], condition: Callable[[Leaf], Column | Lookup], show: str | None = None) -> DataFrame:
+    """keys; signs, words, lines: sorted distinct numbers of a match; captures: map of capture number -> sign numbers; shown: the column `show` of each leaf.
 
-    condition: the relation's rows that a leaf stands for. edge: its pseudo rows before the first and after the last sign.
+    A way to match that two branches share comes once for each.
     """
-    keys = keys or ["tid"]
-    edge = edge or (lambda: F.col("pseudo"))
-    found = [branch_matches(relation, b, keys, condition, edge) for b in branches(parse(text, aliases))]
-    return reduce(DataFrame.unionByName, found)
-
-
-def with_edges(relation: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The relation with a pseudo row (pseudo true, all else but numbers null) before the first and after the last sign of each text.
-
-    Word, compound and line numbers of pseudo rows are one below the first and one above the last, so any break holds.
-    """
-    keys = keys or ["tid"]
-    ends = relation.groupBy(*keys).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("sign_no", "word_no", "compound_no", "line_no") for f in (F.min, F.max)])
-    none = [F.lit(None).cast(t).alias(c) for c, t in relation.dtypes if c not in (*keys, *_NUMBERS)]
-
-    def pseudo(f: str, step: int) -> DataFrame:
-        sign = F.col(f"{f}_sign_no") + step
-        numbers = [(F.col(f"{f}_{c}") + step).alias(c) for c in ("word_no", "compound_no", "line_no")]
-        return ends.select(*keys, sign.alias("sign_no"), F.shiftleft(sign.cast("long"), 7).alias("pos"), F.shiftleft(sign.cast("long") + 1, 7).alias("next_pos"), *numbers, *none, F.lit(True).alias("pseudo"))
-
-    return relation.withColumn("pseudo", F.lit(False)).unionByName(pseudo("min", -1)).unionByName(pseudo("max", 1))
+    if any(leaf.kind == "edge" for b in found for leaf in b.leaves) and "starts_word" not in relation.columns:
+        relation = with_edges(relation, keys)
+    wanted: dict[tuple[Leaf, frozenset[str]], str] = {}
+    marks = []
+    for b in found:
+        own, must = _place(b)
+        marks.append([wanted.setdefault((b.leaves[k], must.get(k, frozenset())), f"m{len(wanted)}") for k in own])
+    rows = _marked(relation, list(wanted), condition, [*keys, *_NUMBERS, *([show] if show else [])])
+    if sum(map(len, marks)) > 1:
+        rows = materialized(rows, "candidates")
+    return reduce(DataFrame.unionByName, [_branch(rows, b, keys, m, show) for b, m in zip(found, marks, strict=True)])
+
+
+def search(relation: DataFrame, text: str, condition: Callable[[Leaf], Column | Lookup], keys: list[str] | None = None, aliases: bool = True, show: str | None = None) -> DataFrame:
+    """`matches` of a pattern. condition: the relation's rows that a leaf stands for."""
+    return matches(relation, branches(parse(text, aliases)), keys or ["tid"], condition, show)
 
 
 def filtered(matches: DataFrame, texts: DataFrame, keys: list[str] | None = None, **chosen: list) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,10 @@ B1 = r"""b1l AS (
 ), b1 AS (
   SELECT tid, lang, source, line_no, value, row_number() OVER (PARTITION BY tid ORDER BY line_no, k) - 1 AS sign_no FROM b1w WHERE value <> ''
 )"""
+#: b1 with what follows: values and numbers of the next two words, and the line of the one before.
+B1N = f"""{B1}, b1n AS (
+  SELECT *, lead(value) OVER o AS v1, lead(value, 2) OVER o AS v2, lag(line_no) OVER o AS line_before, lead(line_no) OVER o AS line_after FROM b1 WINDOW o AS (PARTITION BY tid ORDER BY sign_no)
+)"""
 B2 = """b2r AS (
   SELECT l.*, row_number() OVER o - 1 AS sign_no,
          coalesce((l_returnflag <> lag(l_returnflag) OVER o)::INT, 0) AS w, coalesce((l_linestatus <> lag(l_linestatus) OVER o)::INT, 0) AS c
@@ -76,21 +81,23 @@ def _words(leaf):
     return F.col("value").isNotNull()
 
 
-def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+def _documents(spark: SparkSession, sf_dir: str, *more: str, edges: bool = False) -> DataFrame:
     """Each word is a sign, a word and a part of its line's compound."""
-    return bind.document_tokens(spark, sf_dir, *more).withColumns({"word_no": F.col("sign_no"), "compound_no": F.col("line_no")})
+    rows = bind.document_tokens(spark, sf_dir, *more, edges=edges).withColumns({"word_no": F.col("sign_no"), "compound_no": F.col("line_no")})
+    if edges:
+        rows = rows.withColumns({f"{side}_{n}": F.col(f"{side}_line") if n == "compound" else F.lit(True) for side in ("starts", "ends") for n in ("compound", "word")})
+    return rows
 
 
-def _find(spark: SparkSession, sf_dir: str, text: str, edges: bool = False) -> DataFrame:
-    rows = _documents(spark, sf_dir)
-    return plan.search(plan.with_edges(rows) if edges else rows, text, _words, aliases=False)
+def _find(spark: SparkSession, sf_dir: str, text: str, edges: bool = False, show: str | None = None) -> DataFrame:
+    return plan.search(_documents(spark, sf_dir, edges=edges), text, _words, aliases=False, show=show)
 
 
 def _array(c: str):
     return F.array_join(c, ",").alias(c)
 
 
-@query(f"WITH {B1} SELECT a.tid, a.sign_no AS first, b.sign_no AS second FROM b1 a JOIN b1 b ON a.tid = b.tid AND b.sign_no = a.sign_no + 1 WHERE a.value = 'the' AND b.value = 'of'")
+@query(f"WITH {B1N} SELECT tid, sign_no AS first, sign_no + 1 AS second FROM b1n WHERE value = 'the' AND v1 = 'of'")
 def search_value_adjacent(spark, sf_dir):
     return _find(spark, sf_dir, "the of").select("tid", F.get("signs", F.lit(0)).alias("first"), F.get("signs", F.lit(1)).alias("second"))
 
@@ -132,8 +139,7 @@ def sign_variants_present(spark, sf_dir):
     return stats.presence(bind.order_signs(spark, sf_dir), bind.order_texts(spark, sf_dir), "glyph")
 
 
-@query(f"""WITH {B1} SELECT a.tid, a.sign_no AS first FROM b1 a JOIN b1 b ON a.tid = b.tid AND b.sign_no = a.sign_no + 1 JOIN b1 c ON a.tid = c.tid AND c.sign_no = a.sign_no + 2
-WHERE a.value = 'of' AND b.value = 'the' AND c.value = 'that'""")
+@query(f"WITH {B1N} SELECT tid, sign_no AS first FROM b1n WHERE value = 'of' AND v1 = 'the' AND v2 = 'that'")
 def search_three_chain(spark, sf_dir):
     return _find(spark, sf_dir, "of the that").select("tid", F.get("signs", F.lit(0)).alias("first"))
 
@@ -144,17 +150,13 @@ def search_ellipsis_same_line(spark, sf_dir):
     return _find(spark, sf_dir, "[the … of]").groupBy("tid").agg(F.count("*").alias("matches"))
 
 
-@query(f"""WITH {B1} SELECT a.tid, a.sign_no AS first, b.value AS second FROM b1 a JOIN b1 b ON a.tid = b.tid AND b.sign_no = a.sign_no + 1
-WHERE a.value = 'the' AND b.value IN ('of', 'that', 'and')""")
+@query(f"WITH {B1N} SELECT tid, sign_no AS first, v1 AS second FROM b1n WHERE value = 'the' AND v1 IN ('of', 'that', 'and')")
 def search_alternative(spark, sf_dir):
-    rows = _documents(spark, sf_dir)
-    found = plan.search(rows, "the (of|that|and)", _words, aliases=False)
-    second = rows.select("tid", F.col("sign_no").alias("s"), F.col("value").alias("second"))
-    return found.withColumns({"first": F.get("signs", F.lit(0)), "s": F.get("signs", F.lit(1))}).join(second, ["tid", "s"]).select("tid", "first", "second")
+    found = _find(spark, sf_dir, "the (of|that|and)", show="value")
+    return found.select("tid", F.get("signs", F.lit(0)).alias("first"), F.get("shown", F.lit(1)).alias("second"))
 
 
-@query(f"""WITH {B1} SELECT a.tid, a.sign_no AS first FROM b1 a JOIN b1 b ON a.tid = b.tid AND b.sign_no = a.sign_no + 1
-WHERE (a.value = 'the' AND b.value = 'that') OR (a.value = 'that' AND b.value = 'the')""")
+@query(f"WITH {B1N} SELECT tid, sign_no AS first FROM b1n WHERE (value = 'the' AND v1 = 'that') OR (value = 'that' AND v1 = 'the')")
 def search_unordered(spark, sf_dir):
     return _find(spark, sf_dir, "the:that").select("tid", F.get("signs", F.lit(0)).alias("first"))
 
@@ -182,36 +184,53 @@ def search_breaks(spark, sf_dir):
     return found.select("tid", F.get("signs", F.lit(0)).alias("first"), F.get("words", F.lit(1)).alias("word_no"), F.get("lines", F.lit(1)).alias("line_no"))
 
 
-@query(f"""WITH {B1} SELECT a.tid, a.sign_no AS first FROM b1 a LEFT JOIN b1 p ON a.tid = p.tid AND p.sign_no = a.sign_no - 1
-WHERE a.value = 'the' AND (p.tid IS NULL OR p.line_no <> a.line_no) AND false OR (a.value = 'the' AND a.sign_no = 0)""")
+@query(f"WITH {B1N} SELECT tid, sign_no AS first FROM b1n WHERE value = 'the' AND (line_before IS NULL OR line_before <> line_no)")
 def search_anchor(spark, sf_dir):
     return _find(spark, sf_dir, "// the", edges=True).select("tid", F.get("signs", F.lit(0)).alias("first"))
 
 
-@query(f"WITH {B1} SELECT a.tid, count(*) AS matches FROM b1 a JOIN b1 b ON a.tid = b.tid AND b.sign_no = a.sign_no + 1 WHERE regexp_matches(a.value, '^th.*n$') AND b.value = 'the' GROUP BY ALL")
+@query(f"WITH {B1N} SELECT tid, sign_no AS first FROM b1n WHERE value = 'the' AND v1 = 'of' AND coalesce(line_before <> line_no, true) AND line_after = line_no")
+def search_anchor_chain(spark, sf_dir):
+    return _find(spark, sf_dir, "// [the of]", edges=True).select("tid", F.get("signs", F.lit(0)).alias("first"))
+
+
+_ANCHORS = ["; ECONOMY", ", ECONOMY", "// ECONOMY", "ECONOMY ;", "ECONOMY ,", "ECONOMY //", "; // ECONOMY ,"]
+
+
+@query(f"""WITH {B2}, n AS (SELECT *, coalesce(lag(word_no) OVER o <> word_no, true) AS w0, coalesce(lag(compound_no) OVER o <> compound_no, true) AS c0, coalesce(lag(line_no) OVER o <> line_no, true) AS l0,
+coalesce(lead(word_no) OVER o <> word_no, true) AS w1, coalesce(lead(compound_no) OVER o <> compound_no, true) AS c1, coalesce(lead(line_no) OVER o <> line_no, true) AS l1 FROM b2 WINDOW o AS (PARTITION BY tid ORDER BY sign_no))
+SELECT pattern, tid, sign_no AS first FROM n, (VALUES {', '.join(f"('{p}')" for p in _ANCHORS)}) AS x(pattern) WHERE grapheme = 'ECONOMY' AND CASE pattern
+WHEN '; ECONOMY' THEN w0 WHEN ', ECONOMY' THEN c0 WHEN '// ECONOMY' THEN l0 WHEN 'ECONOMY ;' THEN w1 WHEN 'ECONOMY ,' THEN c1 WHEN 'ECONOMY //' THEN l1 ELSE w0 AND l0 AND c1 END""")
+def search_anchor_kinds(spark, sf_dir):
+    """Each break at each end: matches that begin or end a word, a compound or a line."""
+    found = [_orders_search(spark, sf_dir, p).select(F.lit(p).alias("pattern"), "tid", F.get("signs", F.lit(0)).alias("first")) for p in _ANCHORS]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(f"WITH {B1N} SELECT tid, count(*) AS matches FROM b1n WHERE regexp_matches(value, '^th.*n$') AND v1 = 'the' GROUP BY ALL")
 def search_pattern_regex(spark, sf_dir):
     return _find(spark, sf_dir, "/th.*n/ the").groupBy("tid").agg(F.count("*").alias("matches"))
 
 
-@query(f"""WITH {B1} SELECT a.tid, a.sign_no AS first, lang, source FROM b1 a JOIN b1 b USING (tid, lang, source)
-WHERE b.sign_no = a.sign_no + 1 AND a.value = 'the' AND b.value = 'of' AND lang IN ('en', 'de') AND source IN ('src0', 'src1', 'src2')""")
+@query(f"""WITH {B1N} SELECT tid, sign_no AS first, lang, source FROM b1n
+WHERE value = 'the' AND v1 = 'of' AND lang IN ('en', 'de') AND source IN ('src0', 'src1', 'src2')""")
 def search_filters(spark, sf_dir):
     found = _find(spark, sf_dir, "the of").select("tid", F.get("signs", F.lit(0)).alias("first"))
     texts = bind.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tid"), "lang", "source")
     return plan.filtered(found, texts, lang=["en", "de"], source=["src0", "src1", "src2"], tid=[])
 
 
-@query(f"""WITH {B1} SELECT a.tid, a.sign_no || ',' || b.sign_no AS signs, a.sign_no || '' AS c1, b.sign_no || '' AS c2 FROM b1 a JOIN b1 b ON a.tid = b.tid AND b.sign_no = a.sign_no + 1
-WHERE a.value = 'that' AND b.value = 'of'""")
+@query(f"WITH {B1N} SELECT tid, sign_no || ',' || (sign_no + 1) AS signs, sign_no || '' AS c1, (sign_no + 1) || '' AS c2 FROM b1n WHERE value = 'that' AND v1 = 'of'")
 def search_wildcards(spark, sf_dir):
     found = _find(spark, sf_dir, "(that) (of)")
     return found.select("tid", _array("signs"), F.array_join(F.col("captures")[1], ",").alias("c1"), F.array_join(F.col("captures")[2], ",").alias("c2"))
 
 
 @query(f"""WITH {B2}, p AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS component, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS k, len(string_split(p_name, ' ')) AS n FROM part),
-c AS (SELECT tid, sign_no, component, sign_no * 128 + k AS pos, CASE WHEN k + 1 = n THEN (sign_no + 1) * 128 ELSE sign_no * 128 + k + 1 END AS next_pos FROM b2 JOIN p ON value_id = p_partkey)
-SELECT a.tid, a.sign_no AS first, b.sign_no AS second FROM c a JOIN c b ON a.tid = b.tid AND a.next_pos = b.pos
-WHERE a.component = (SELECT min(component) FROM p WHERE k + 1 = n) AND b.component = (SELECT min(component) FROM p WHERE k = 0)""")
+c AS (SELECT tid, sign_no, component, sign_no * 128 + k AS pos, CASE WHEN k + 1 = n THEN (sign_no + 1) * 128 ELSE sign_no * 128 + k + 1 END AS next_pos FROM b2 JOIN p ON value_id = p_partkey),
+m AS (SELECT min(component) FILTER (WHERE k + 1 = n) AS low, min(component) FILTER (WHERE k = 0) AS high FROM p),
+f AS (SELECT *, lead(component) OVER o AS then_component, lead(pos) OVER o AS then_pos, lead(sign_no) OVER o AS then_no FROM c WINDOW o AS (PARTITION BY tid ORDER BY pos))
+SELECT tid, sign_no AS first, then_no AS second FROM f, m WHERE component = low AND then_component = high AND next_pos = then_pos""")
 def search_component_chain(spark, sf_dir):
     """Components of signs across sign boundaries: words of a part's name."""
     part = bind.table(spark, sf_dir, "part")
@@ -591,15 +610,15 @@ def split_merge(spark, sf_dir):
     return diff.renumbered(rows, ["tid"], ["compound_no"], "new_no")
 
 
-@query(f"""WITH {B1}, m AS (SELECT a.tid, a.sign_no FROM b1 a JOIN b1 b ON a.tid = b.tid AND b.sign_no = a.sign_no + 1 WHERE regexp_matches(a.value, '^th.*') AND regexp_matches(b.value, '^th.*'))
-SELECT tid, sign_no || ',' || (sign_no + 1) AS signs, EXISTS (SELECT 1 FROM m x WHERE x.tid = m.tid AND abs(x.sign_no - m.sign_no) = 1) AS overlap FROM m""")
+@query(f"""WITH {B1N}, m AS (SELECT tid, sign_no FROM b1n WHERE regexp_matches(value, '^th.*') AND regexp_matches(v1, '^th.*'))
+SELECT tid, sign_no || ',' || (sign_no + 1) AS signs, coalesce(lag(sign_no) OVER o = sign_no - 1, false) OR coalesce(lead(sign_no) OVER o = sign_no + 1, false) AS overlap FROM m WINDOW o AS (PARTITION BY tid ORDER BY sign_no)""")
 def replace_overlaps(spark, sf_dir):
     from glyphora.operators import diff
 
     return diff.overlaps(_find(spark, sf_dir, "/th.*/ /th.*/").select("tid", "signs"), ["tid"]).select("tid", _array("signs"), "overlap")
 
 
-@query(f"""WITH {B1}, m AS (SELECT a.tid, a.sign_no AS s FROM b1 a JOIN b1 b ON a.tid = b.tid AND b.sign_no = a.sign_no + 1 WHERE a.value = 'of' AND b.value = 'the'),
+@query(f"""WITH {B1N}, m AS (SELECT tid, sign_no AS s FROM b1n WHERE value = 'of' AND v1 = 'the'),
 r AS (SELECT b1.tid, sign_no, CASE WHEN x.s IS NOT NULL THEN 'ofthe' ELSE value END AS value FROM b1 LEFT JOIN m x ON b1.tid = x.tid AND sign_no = x.s LEFT JOIN m y ON b1.tid = y.tid AND sign_no = y.s + 1 WHERE y.s IS NULL)
 SELECT tid, row_number() OVER (PARTITION BY tid ORDER BY sign_no) - 1 AS sign_no, value FROM r WHERE tid IN (SELECT tid FROM m)""")
 def replace_tokens(spark, sf_dir):

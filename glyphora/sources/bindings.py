@@ -17,16 +17,17 @@ def with_positions(signs: DataFrame) -> DataFrame:
     return signs.withColumns({"pos": F.shiftleft(F.col("sign_no").cast("long"), 7), "next_pos": F.shiftleft(F.col("sign_no").cast("long") + 1, 7)})
 
 
-def document_tokens(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    r"""tid, sign_no, line_no, value, pos, next_pos: lower-cased letters of the words of each line, in order.
+def document_tokens(spark: SparkSession, sf_dir: str, *more: str, edges: bool = False) -> DataFrame:
+    r"""tid, sign_no, line_no, value, pos, next_pos (with edges: starts_line, ends_line): lower-cased letters of the words of each line, in order.
 
     Words without letters drop out before numbering. All is done within the row, so nothing is shuffled.
     """
     letters = F.regexp_replace(F.lower("text"), r"[^\p{L} \n]", "")  # one pass over the text, before it is split
-    words = F.transform(F.split(letters, "\n", -1), lambda x, i: F.transform(F.split(x, " ", -1), lambda w: F.struct(i.alias("line_no"), w.alias("value"))))
-    signs = F.filter(F.flatten(words), lambda s: s["value"] != "")
+    words = F.transform(F.split(letters, "\n", -1), lambda x: F.filter(F.split(x, " ", -1), lambda w: w != ""))
+    about = lambda ws, w, k: [(k == 0).alias("starts_line"), (k == F.size(ws) - 1).alias("ends_line")] if edges else []
+    signs = F.flatten(F.transform(words, lambda ws, i: F.transform(ws, lambda w, k: F.struct(i.alias("line_no"), w.alias("value"), *about(ws, w, k)))))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tid"), *more, F.posexplode(signs).alias("sign_no", "x"))
-    return with_positions(rows.select("tid", *more, "sign_no", F.col("x.line_no").alias("line_no"), F.col("x.value").alias("value")))
+    return with_positions(rows.select("tid", *more, "sign_no", "x.*"))
 
 
 #: Makes lines of an order unique.

@@ -42,7 +42,9 @@ def test_search_and_what_it_found(spark, signlist):
     assert got("si-a") == [] and got("a-si") == [(1, (0, 1))] and got("e=ni") == [] and got("e-ni") == [(1, (2, 3))]
     assert got("a:si") == [(1, (0, 1)), (2, (0, 1))] and got("/s.*/") == [(1, (1,)), (2, (0,))]
     assert got("{d}") == [(1, (4,))] and got("{d}diri") == [(1, (4, 5))] and got("diri{ki}") == [(1, (5, 6))] and got("<a>") == [(1, (7,))] and got("diri{d}") == []
-    assert got("[a … ni]") == [(1, (0, 3))] and got("[a … pa]") == [(1, (7, 8))] and got("[si … pa]") == [] and got("// ni|ki") == [] and got("; a") == [(1, (0,))] and got("a ;") == [(2, (1,))]
+    assert got("[a … ni]") == [(1, (0, 3))] and got("[a … pa]") == [(1, (7, 8))] and got("[si … pa]") == [] and got("// ni|ki") == [] and got("; a") == [(1, (0,)), (1, (7,)), (2, (1,))] and got("a ;") == [(2, (1,))]
+    assert got("// d") == [(1, (4,))] and got("ni //") == [(1, (3,))] and got("; ni") == [(1, (3,))] and got(", e") == [(1, (2,))] and got(", ni") == [] and got("diri{ki} ,") == [(1, (5, 6))] and got("{d} ,") == []
+    assert got("// AN") == [(1, (4,))] and got("// A") == [(1, (0,))] and got("A //") == [(2, (1,))] and got("// a-si ,") == [(1, (0, 1))]
     assert got("si // a") == [] and got("ni // d") == [(1, (3, 4))] and got("nope") == [] and got("NOPE") == []
     matches = find("e … ki")
     assert [(r.signs, r.sign_nos) for r in corpus_search.found_signs(matches, t, signlist["characters"]).collect()] == [("e…{ki}", [2, 6])]
@@ -50,7 +52,7 @@ def test_search_and_what_it_found(spark, signlist):
     assert sorted((r.line_no, r.line) for r in corpus_search.found_lines(matches, t, signlist["characters"]).collect()) == [(0, "[a]-si e--ni!"), (1, "{d}diri{ki} <a>pa")]
 
 
-@pytest.mark.parametrize("text", ["a …: b", "(a", "a)", "", "$", "[a", "{d", "a |", "()"])
+@pytest.mark.parametrize("text", ["a …: b", "(a", "a)", "", "$", "[a", "{d", "a |", "()", "… a", "a …", "-a", "a="])
 def test_bad_patterns(text):
     with pytest.raises(PatternError):
         parse(text)

@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__
 from glyphora import queries
+from glyphora.plans import search
+from glyphora.plans.pattern import Leaf
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,6 +47,15 @@ def test_entry(spark):
 
 
 def test_adjacency_is_an_equi_join(spark):
-    plan = queries.Q["search_value_adjacent"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plan = shown(queries.Q["search_value_adjacent"](spark, SF))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in shown(queries._documents(spark, SF).where("value = 'the'"))
+
+
+def test_texts_are_read_once_and_without_a_shuffle(spark):
+    rows = queries._documents(spark, SF, edges=True)
+    wanted = [(leaf, frozenset(["starts_line"])) for leaf in (Leaf("value", "the"), Leaf("value", "of"))]
+    marked = search._marked(rows, wanted, queries._words, ["tid", *search._NUMBERS])
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Window" not in plan
