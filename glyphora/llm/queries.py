@@ -79,10 +79,10 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_dot_product(q.e, c.e), 0)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (

@@ -1,137 +1,242 @@
 """Exact top-k by inner product with pivot-table elimination.
 
-Vectors become integers; with one component added, sqrt(M^2 - |x|^2) for rows and 0 for queries (M: the largest
-norm), a larger inner product is a smaller Euclidean distance. Distances of every row to many pivots are
-computed once; by the triangle inequality the largest difference to a query's own distances bounds the
-query's distance from below. A query looks at the rows of a block in order of these bounds and stops when the next bound
-exceeds the k-th best distance found. Scores are compared as integers, so the result is exact.
-
-Rows are cut into blocks, queries into blocks, and each pair of blocks is one task row that keeps k rows a query
-(with the best of all its row blocks merged as grouped arrays). Nothing is broadcast but the pivots.
+Vectors become whole numbers; with one component added, sqrt(M^2 - |x|^2) for rows and 0 for queries (M: the largest
+norm), a larger inner product is a smaller Euclidean distance. Pivots are picked from a bounded sample so that each is as far
+as possible from the span of those before. The distances of every row to all pivots are computed once, with the blocks that
+rows are cut into. Of all lower bounds of a distance to the query that two rows of that table give, the largest is used: that of the
+simplex over the pivots, at least as large as any difference |d(q, p) - d(x, p)|. A query looks at the rows of a block in order of
+these bounds and stops when the next bound exceeds the k-th best distance found, which it brings along from the sample and
+from block to block. Scores are compared as integers, so the result is exact.
+
+Queries are cut into blocks as well, each pair of blocks is one task row, and nothing is broadcast but the pivots and the sample.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphora.llm._common import written
 
-K, SCALE, PIVOTS = 10, 1024, 32
+K, SCALE, PIVOTS = 10, 1024, 64
+#: Rows of the sample that pivots are picked from, at most, and its bytes.
+SAMPLE, SAMPLE_BYTES = 4096, 8 << 20
 #: Rows of a block, queries of a block.
 ROWS, QUERIES = 4096, 256
 #: Lanes that row blocks are dealt to at most, each with a copy of the query blocks.
 LANES = 4096
-#: Largest whole component taken; beyond it an inner product could overflow.
-LARGEST = 1 << 27
+#: Share of M by which bounds are lowered for rounding, and least height of a pivot over the span of the others.
+SLACK, HEIGHT = 1e-5, 1e-4
+LONG = (1 << 63) - 1
 
 
 def whole(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vectors (vec_id, embedding) -> (vec_id, v array<int>, dim): floor(scale * x) per component, x as double.
+    """vectors (vec_id, embedding) -> (vec_id, v array<double>, dim): floor(scale * x) per component, x as double; whole numbers of any size.
 
-    Rows with a null vec_id, null or empty vector, null or non-finite component take no part; nor, as their inner products could
-    exceed 64 bits, those with a component beyond LARGEST.
+    Rows with a null vec_id, a null vector, or a null or non-finite component take no part, nor do those where scale * x is beyond a double (1024 times a
+    float never is). Empty vectors score 0 with each other.
     """
-    d = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) <= LARGEST)
-    d = d.where("vec_id is not null and size(e) > 0").where(F.forall("e", lambda x: F.coalesce(fine(x), F.lit(False))))
-    return d.select("vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("int")).alias("v"), F.size("e").alias("dim"))
-
-
-def _blocks(size: int):
-    """Kernel: (vec_id, v, dim), of one dim each run -> (dim, n, ids binary, vectors binary) of up to `size` rows."""
+    d = vectors.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * float(scale)).alias("e"))
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    d = d.where("vec_id is not null and e is not null").where(F.forall("e", lambda x: F.coalesce(fine(x), F.lit(False))))
+    floor = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)  # noqa: E731  larger doubles are whole
+    return d.select("vec_id", F.transform("e", floor).alias("v"), F.size("e").alias("dim"))
+
+
+def scores(x: np.ndarray, q: np.ndarray) -> list[int] | np.ndarray:
+    """Inner products of the rows of x, whole numbers, with q: exact, as floats or 64-bit integers where these hold them, else as Python's integers."""
+    most = float(np.abs(x).max(initial=0.0)) * float(np.abs(q).max(initial=0.0)) * max(1, len(q))
+    if most < 2.0**52:
+        return (x @ q).astype(np.int64)
+    if most < 2.0**62 and max(np.abs(x).max(), np.abs(q).max()) < 2.0**62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    own = [int(c) for c in q.tolist()]
+    return [sum(int(a) * b for a, b in zip(row, own, strict=True)) for row in x.tolist()]
+
+
+@dataclass
+class Pivots:
+    """Pivots of one dimension, lifted, and the sample that they come from."""
+
+    points: np.ndarray  # one row each, the added component last
+    solve: np.ndarray  # from inner products with the pivots' differences to coordinates over them
+    top: float  # M squared
+    sample_ids: np.ndarray
+    sample: np.ndarray
+
+    @classmethod
+    def pick(cls, ids: np.ndarray, x: np.ndarray, top: float, most: int) -> Pivots:
+        """At most `most` rows of the sample, each the farthest from the span of those before."""
+        lifted = np.column_stack([x, np.sqrt(np.maximum(top - (x**2).sum(axis=1), 0.0))])
+        points, rest, base = [lifted[0]], lifted - lifted[0], []
+        while len(points) < most:
+            heights = (rest**2).sum(axis=1)
+            far = int(np.argmax(heights))
+            if not heights[far] > HEIGHT**2 * top:
+                break
+            points.append(lifted[far])
+            base.append(rest[far] / np.sqrt(heights[far]))
+            rest = rest - np.outer(rest @ base[-1], base[-1])
+        apart = np.array(points[1:]).reshape(-1, lifted.shape[1]) - points[0]
+        over = apart @ np.array(base).reshape(len(base), lifted.shape[1]).T  # triangular: each pivot by the directions up to its own
+        return cls(np.array(points), np.linalg.inv(np.tril(over)).T if len(base) else np.zeros((0, 0)), top, ids, x)
+
+    def distances(self, x: np.ndarray, added: np.ndarray) -> np.ndarray:
+        """Squared distances of rows to all pivots."""
+        p = self.points
+        return np.maximum((x**2).sum(1)[:, None] + added[:, None] ** 2 + (p**2).sum(1)[None] - 2 * (x @ p[:, :-1].T + np.outer(added, p[:, -1])), 0.0)
+
+    def table(self, x: np.ndarray, query: bool = False) -> np.ndarray:
+        """What the distances to the pivots say of each row: its place in their span, and its height over it. Distances of such places are lower bounds."""
+        added = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.top - (x**2).sum(axis=1), 0.0))
+        d = self.distances(x, added)
+        sides = ((self.points[1:] - self.points[0]) ** 2).sum(axis=1)
+        place = (d[:, :1] - d[:, 1:] + sides[None]) / 2 @ self.solve
+        height = np.sqrt(np.maximum(d[:, 0] - (place**2).sum(axis=1), 0.0))
+        return np.column_stack([place, height])
+
+    def far(self, norm: float, score: float) -> float:
+        """Distance beyond which no row scores as much as `score` with a query of this squared norm, rounding included."""
+        return float(np.sqrt(max(norm + self.top - 2.0 * score, 0.0))) + SLACK * float(np.sqrt(self.top))
+
+
+class Best:
+    """The k best rows that a query has seen."""
+
+    def __init__(self, k: int):
+        self.k, self.rows = k, []
+
+    def add(self, found: list[int] | np.ndarray, ids: np.ndarray) -> None:
+        found = found.tolist() if isinstance(found, np.ndarray) else found
+        self.rows = sorted([*self.rows, *((-s, i) for s, i in zip(found, ids.tolist(), strict=True))])[: self.k]
+
+    def last(self) -> int | None:
+        """The k-th score, if there are k."""
+        return -self.rows[-1][0] if self.rows and len(self.rows) == self.k else None
+
+
+def _cut(size: int, make):
+    """Kernel: rows (vec_id, v, dim) -> what `make` makes of up to `size` rows of one dim."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-
-        def out(dim: int, part: list) -> pa.RecordBatch:
-            ids = np.concatenate([a for a, _ in part])
-            v = np.concatenate([b for _, b in part])
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["dim", "n", "ids", "vectors"])
-
         for batch in batches:
             ids, dims = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for dim in np.unique(dims).tolist():
-                pick = pa.array(dims == dim)
-                v = batch.column(1).filter(pick).flatten().to_numpy().reshape(-1, dim)
+                v = batch.column(1).filter(pa.array(dims == dim)).flatten().to_numpy().reshape(-1, dim) if dim else np.zeros((int((dims == 0).sum()), 0))
                 own = ids[dims == dim]
                 for at in range(0, len(own), size):
                     held.setdefault(dim, []).append((own[at : at + size], v[at : at + size]))
                     if sum(len(a) for a, _ in held[dim]) >= size:
-                        yield out(dim, held.pop(dim))
-        for dim, part in held.items():
-            yield out(dim, part)
+                        yield make(dim, *(np.concatenate(c) for c in zip(*held.pop(dim), strict=True)))
+        for dim, parts in held.items():
+            yield make(dim, *(np.concatenate(c) for c in zip(*parts, strict=True)))
 
     return kernel
 
 
-def _search(k: int, pivots: dict[int, np.ndarray], norms: dict[int, float]):
-    """Kernel: (dim, qids, qvectors, ids, vectors) -> (query_id, vec_id, score): each query's k best of the block."""
-
-    def one(dim: int, qids, q, ids, x) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        p, top = pivots[dim].astype(np.float64), norms[dim]
-        xf, qf = x.astype(np.float64), q.astype(np.float64)
-        lift = np.sqrt(np.maximum(top - (xf**2).sum(axis=1), 0.0))  # the added component of rows
-        plift = np.sqrt(np.maximum(top - (p**2).sum(axis=1), 0.0))
-        near = lambda v, extra: np.sqrt(np.maximum((v**2).sum(1)[:, None] + (p**2).sum(1)[None] - 2 * v @ p.T + (extra[:, None] - plift[None]) ** 2, 0.0))
-        table, own = near(xf, lift), near(qf, np.zeros(len(qf)))
-        slack = 1e-6 * np.sqrt(top) + 1e-6  # rounding of the bounds
-        out = []
-        for i, qid in enumerate(qids.tolist()):
-            bound = np.abs(table - own[i]).max(axis=1) - slack
-            order = np.argsort(bound)
-            best_id, best_s = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            far, step, at = np.inf, 256, 0
-            q2 = float((qf[i] ** 2).sum())
-            while at < len(order) and bound[order[at]] <= far:
-                see = order[at : at + step]
-                see = see[ids[see] != qid]
-                s = x[see].astype(np.int64) @ q[i].astype(np.int64)
-                best_id, best_s = np.concatenate([best_id, ids[see]]), np.concatenate([best_s, s])
-                keep = np.lexsort((best_id, -best_s))[:k]
-                best_id, best_s = best_id[keep], best_s[keep]
-                if len(keep) == k:  # no row farther than this can score as much
-                    far = np.sqrt(max(q2 + top - 2.0 * float(best_s[-1]), 0.0)) + slack
-                at += step
-                step *= 2
-            out.append((np.full(len(best_id), qid), best_id, best_s))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+def _one(names: list[str], *values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) if isinstance(v, int) else pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in values], names)
+
+
+def _row_block(pivots: dict[int, Pivots]):
+    return lambda dim, ids, x: _one(["dim", "ids", "vectors", "places"], dim, ids, x, pivots[dim].table(x).astype(np.float32))
+
+
+def _query_block(pivots: dict[int, Pivots], k: int):
+    """A block of queries, with the distance beyond which each need not look: from its k best of the sample, whose rows are candidates as any."""
+
+    def make(dim: int, ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        p, far = pivots[dim], np.full(len(ids), np.inf)
+        for i, qid in enumerate(ids.tolist()):
+            best, others = Best(k), p.sample_ids != qid
+            found = scores(p.sample[others], q[i])
+            near = np.argsort(found)[-k:] if isinstance(found, np.ndarray) else sorted(range(len(found)), key=found.__getitem__)[-k:]
+            best.add([int(found[j]) for j in near], p.sample_ids[others][near])
+            if best.last() is not None:
+                far[i] = p.far(float((q[i] ** 2).sum()), float(best.last()))
+        return _one(["dim", "qids", "qvectors", "far"], dim, ids, q, far)
+
+    return make
+
+
+def _search(k: int, pivots: dict[int, Pivots], seen: Accumulator | None):
+    """Kernel: (dim, qids, qvectors, far, ids, vectors, places) -> (query_id, vec_id, score): each query's k best of the block, but none known to be beaten."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits: dict[tuple, np.ndarray] = {}  # what this task's blocks have shown
         for batch in batches:
-            for dim, qids, q, ids, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = one(dim, np.frombuffer(qids, np.int64), np.frombuffer(q, np.int32).reshape(-1, dim), np.frombuffer(ids, np.int64), np.frombuffer(x, np.int32).reshape(-1, dim))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["query_id", "vec_id", "score"])
+            for dim, qids, qv, far, ids, x, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p, block = pivots[dim], (dim, qids)
+                limit = limits.setdefault(block, np.frombuffer(far, np.float64).copy())
+                qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
+                q, x = (np.frombuffer(b, np.float64).reshape(n, dim) for b, n in ((qv, len(qids)), (x, len(ids))))
+                a, b = p.table(q, query=True), np.frombuffer(places, np.float32).reshape(len(ids), -1).astype(np.float64)
+                bounds = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0.0)) - SLACK * np.sqrt(p.top)
+                bounds = np.where(np.isfinite(bounds), bounds, -np.inf)
+                looked, out = 0, []
+                for i, qid in enumerate(qids.tolist()):
+                    near = np.flatnonzero((bounds[i] <= limit[i]) & (ids != qid))
+                    near = near[np.argsort(bounds[i][near], kind="stable")]
+                    best, at, step = Best(k), 0, 4 * k
+                    while at < len(near) and bounds[i][near[at]] <= limit[i]:
+                        see = near[at : at + step]
+                        best.add(scores(x[see], q[i]), ids[see])
+                        looked += len(see)
+                        if best.last() is not None:
+                            limit[i] = min(limit[i], p.far(float((q[i] ** 2).sum()), float(best.last())))
+                        at, step = at + step, 2 * step
+                    out += [(qid, j, max(-LONG - 1, min(LONG, -s)), -s) for s, j in best.rows]
+                if seen is not None:
+                    seen.add(np.array([looked, len(qids) * len(ids)]))
+                cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+                wide = [None if s == t else f"{t:+}" for s, t in zip(cols[2], cols[3], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(wide, pa.string())], ["query_id", "vec_id", "score", "wide"])
 
     return kernel
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS) -> DataFrame:
-    """rows, queries (vec_id, v array<int>, dim) of `whole` -> (query_id, rank int, vec_id, score): of each query the k
+def _pivots(rows: DataFrame, most: int) -> dict[int, Pivots]:
+    """Of each dimension, of which there are a handful: pivots from the rows of the least hash, SAMPLE and SAMPLE_BYTES at most."""
+    some = rows.select("vec_id", "v", "dim", F.xxhash64("vec_id", "v").alias("h"))
+    tops = {r.dim: float(r.m) for r in some.groupBy("dim").agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).collect()}
+    out = {}
+    for dim, top in tops.items():
+        n = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * max(1, dim))))
+        got = some.where(F.col("dim") == dim).orderBy("h", "vec_id").limit(n).select("vec_id", "v").toArrow()
+        x = np.array(got.column(1).to_pylist(), np.float64).reshape(got.num_rows, dim)
+        out[dim] = Pivots.pick(got.column(0).to_numpy(), x, top, most if np.isfinite(top) else 1)
+    return out
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, seen: Accumulator | None = None) -> DataFrame:
+    """rows, queries (vec_id, v array<double>, dim) of `whole` -> (query_id, rank int, vec_id, score): of each query the k
     rows with another vec_id and the largest inner product (all, if fewer), ties to the smaller vec_id.
 
     Only vectors of one dimension are compared. A query given twice answers once if its vectors agree; two vectors
-    under one id answer as one query. Repeated rows are candidates as often as they are given. No rows: no result.
+    under one id answer as one query. Repeated rows are candidates as often as they are given. No rows: no result. Scores beyond a
+    long are ranked as they are and given as the largest or least long. seen, if given, counts the rows whose scores were computed, and all.
     """
-    some = rows.select("dim", "v", F.xxhash64("vec_id").alias("h"))
-    norms = {r.dim: float(r.m) for r in some.groupBy("dim").agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m")).collect()}
-    picked: dict[int, np.ndarray] = {}
-    for dim in norms:  # a handful of dimensions; `pivots` rows of each
-        picked[dim] = np.array([r.v for r in some.where(F.col("dim") == dim).orderBy("h").limit(pivots).collect()], np.int64)
-    block = "dim int, n int, ids binary, vectors binary"
-    blocks = written(rows.select("vec_id", "v", "dim").mapInArrow(_blocks(ROWS), block), "blocks")
+    picked = _pivots(rows, pivots)
     asked = queries.select("vec_id", "v", "dim").distinct()
-    asked = written(asked.repartition(max(1, -(-asked.count() // 8192))).mapInArrow(_blocks(QUERIES), block), "asked")
+    asked = asked.where(F.col("dim").isin(list(picked)) if picked else F.lit(False))  # no rows of that dimension, no answer
+    blocks = written(rows.select("vec_id", "v", "dim").mapInArrow(_cut(ROWS, _row_block(picked)), "dim int, ids binary, vectors binary, places binary"), "blocks")
+    asked = written(asked.repartition(max(1, -(-asked.count() // 8192))).mapInArrow(_cut(QUERIES, _query_block(picked, k)), "dim int, qids binary, qvectors binary, far binary"), "asked")
     lanes = min(max(1, blocks.count()), LANES)  # row blocks keep to one lane, query blocks go to all
-    asked = asked.select("dim", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    dealt = blocks.select("dim", "ids", "vectors", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"))
-    pairs = asked.join(dealt, ["dim", "lane"])
-    found = pairs.select("dim", "qids", "qvectors", "ids", "vectors").mapInArrow(_search(k, picked, norms), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    dealt = blocks.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
+    pairs = asked.join(dealt, ["dim", "lane"]).select("dim", "qids", "qvectors", "far", "ids", "vectors", "places")
+    found = pairs.mapInArrow(_search(k, picked, seen), "query_id long, vec_id long, score long, wide string")
+    # a score beyond a long: by sign, then by number of digits, then by digits, all turned about below zero
+    below = F.col("wide").startswith("-")
+    size, digits = F.coalesce(F.length("wide"), F.lit(0)), F.translate("wide", "0123456789", "9876543210")
+    order = [F.desc("score"), F.when(below, -size).otherwise(size).desc(), F.when(below, digits).otherwise(F.col("wide")).desc(), F.asc("vec_id")]
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
