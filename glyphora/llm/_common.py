@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else a local one set here (tests)."""
+    """The folder that all executors share, spark.checkpoint.dir. Without one, a folder of a single machine will do in local mode alone; a cluster must name one."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = getattr(spark, "_glyphora_dir", None)
         if not where:
             where = spark._glyphora_dir = "file://" + tempfile.mkdtemp(prefix="glyphora-")
@@ -107,19 +109,20 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), np.diff(ends[at])
 
 
-_ODD = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
+#: Odd numbers that hashes of windows are built on; hashes on different ones agree by chance alone.
+_ODD = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_POWERS: dict[tuple[int, str], np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64, and of its inverse."""
-    if len(_POWERS.get("up", ())) < n:
+    if len(_POWERS.get((which, "up"), ())) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
-        for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
+        for name, base in (("up", _ODD[which]), ("down", pow(_ODD[which], -1, 1 << 64))):
             x = np.full(size, base, np.uint64)
             x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            _POWERS[which, name] = np.multiply.accumulate(x)
+    return _POWERS[which, "up"][:n], _POWERS[which, "down"][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -131,12 +134,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     """A 64-bit hash of each run of `length` consecutive word hashes; a function of the run alone."""
     n = len(words)
     if n < length:
         return np.zeros(0, np.uint64)
-    up, down = _powers(n)
+    up, down = _powers(n, which)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(words * up, out=sums[1:])
     return mixed((sums[length:] - sums[:-length]) * down[: n - length + 1])

@@ -7,7 +7,9 @@ repeat is lost, and neighbouring windows mostly share theirs, so that few keys t
 
 Documents are dealt into buckets of bounded size once; that exchange serves each level. A bucket sends each
 of its keys once, with how often it has it (1, or 2 for more), and gets back those that are repeated somewhere. So
-the rows of a key, however common, are at most one per bucket, and no text leaves its bucket.
+the rows of a key, however common, are at most one per bucket, and there are at most BUCKETS of these: 30 MB in the task that
+adds them up. No text leaves its bucket. Short windows only find candidates, by one hash of 64 bits; whether a full
+window is repeated is told by two such hashes.
 """
 
 from __future__ import annotations
@@ -23,14 +25,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from glyphora.llm._common import window_hashes, words_of
+from glyphora.llm._common import window_hashes, words_of, written
 
 #: Words of a window that is removed if repeated, and of the first level.
 WINDOW, START = 35, 9
 #: Bytes of text in a bucket, about (one longer text is a bucket's own problem: it stays whole).
 BUCKET = 8 << 20
-KEY = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("n", pa.int32())])
-KEY_DDL = "bucket int, key long, n int"
+#: Buckets at most: beyond 8 TB of text they get larger.
+BUCKETS = 1 << 20
+#: Buckets of a task, about, and tasks of an exchange at most.
+TOGETHER, TASKS = 4, 50_000
+KEY = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("more", pa.int64()), ("n", pa.int32())])
+KEY_DDL = "bucket int, key long, more long, n int"
 
 
 def lengths(window: int = WINDOW, start: int = START) -> list[int]:
@@ -52,6 +58,7 @@ class Texts:
         known = coded.dictionary.cast(pa.large_binary()).to_pylist()
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in known), np.uint64, len(known))
         self.all = hashes[coded.indices.to_numpy()]
+        self.words = known, coded.indices.to_numpy()
         self.window = window
         room = np.repeat(self.ends, self.sizes) - np.arange(len(self.all))
         self.starts = room[: max(0, len(self.all) - window + 1)] >= window  # where a whole window starts
@@ -66,10 +73,23 @@ class Texts:
             have += step
         return low, given
 
-    def keys(self, length: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys of the windows that are alive, and 1, or 2 if there is more than one place."""
+    def second(self) -> np.ndarray:
+        """Another hash of each full window."""
+        known, at = self.words
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 12) for w in known), np.uint64, len(known))
+        return window_hashes(hashes[at], self.window, 1)
+
+    def keys(self, length: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of the windows that are alive, their second hashes (of full windows, else 0), and 1, or 2 if there is more than one place."""
         if not alive.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        if length == self.window:
+            a, b = window_hashes(self.all, length)[alive], self.second()[alive]
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            n = np.diff(np.append(first, len(a)))
+            return a[first].view(np.int64), b[first].view(np.int64), np.minimum(n, 2).astype(np.int32)
         low, given = self.least(length)
         top = np.where(alive, low, 0)
         have, need = 1, self.window - length + 1
@@ -79,7 +99,7 @@ class Texts:
             top = np.maximum(top[:-step], top[step:])
             have += step
         key, n = np.unique(given[(top == given) & (given != 0)], return_counts=True)
-        return key.view(np.int64), np.minimum(n, 2).astype(np.int32)
+        return key.view(np.int64), np.zeros(len(key), np.int64), np.minimum(n, 2).astype(np.int32)
 
 
 def _repeated(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -90,13 +110,29 @@ def _repeated(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(at, len(keys) - 1)] == values
 
 
+def _both_repeated(a: np.ndarray, b: np.ndarray, keys: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Whether the pair (a, b) is among those of (keys, more)."""
+    out = np.zeros(len(a), bool)
+    keys, more = keys.view(np.uint64), more.view(np.uint64)
+    order = np.lexsort((more, keys))
+    keys, more = keys[order], more[order]
+    at, look = np.searchsorted(keys, a), np.arange(len(a))
+    while len(look):  # once, but where pairs agree in the first hash alone
+        look = look[at[look] < len(keys)]
+        look = look[keys[at[look]] == a[look]]
+        out[look] |= more[at[look]] == b[look]
+        look = look[~out[look]]
+        at[look] += 1
+    return out
+
+
 def _numbers(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, np.int64)
 
 
 def _keys(bucket: int, texts: Texts, length: int, alive: np.ndarray) -> pa.Table:
-    key, n = texts.keys(length, alive)
-    return pa.table([pa.array(np.full(len(key), bucket, np.int32)), pa.array(key), pa.array(n)], schema=KEY)
+    key, more, n = texts.keys(length, alive)
+    return pa.table([pa.array(np.full(len(key), bucket, np.int32)), pa.array(key), pa.array(more), pa.array(n)], schema=KEY)
 
 
 def _first(window: int, length: int):
@@ -130,23 +166,29 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW,
     keep = keep or ["doc_id"]
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    buckets = max(1, -(-total // bucket), min(cores, -(-8 * total // bucket)))  # on few data, smaller ones for all cores
+    buckets = max(1, min(BUCKETS, -(-total // bucket)), min(cores, -(-8 * total // bucket)))  # on few data, smaller ones for all cores
+    tasks = min(max(min(cores, buckets), -(-buckets // TOGETHER)), TASKS)  # grow with the data, so that tasks don't
     text = F.coalesce("text", F.lit(""))
     given = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), text.alias("text"), F.struct(*keep).alias("own"))
-    dealt = given.groupBy("bucket")
+    dealt = given.repartition(tasks, "bucket").groupBy("bucket")
+    back = lambda found: found.repartition(tasks, "bucket").groupBy("bucket")
     levels = lengths(window, start)
     found = None
     for below, length in zip([None, *levels], levels, strict=False):
         if found is None:
             keys = dealt.applyInArrow(_first(window, length), KEY_DDL)
         else:
-            keys = dealt.cogroup(found.groupBy("bucket")).applyInArrow(_further(window, below, length), KEY_DDL)
-        times = F.sum("n").over(Window.partitionBy("key"))
-        found = keys.withColumn("times", times).where("times > 1").select("bucket", "key")
+            keys = dealt.cogroup(back(found)).applyInArrow(_further(window, below, length), KEY_DDL)
+        times = F.sum("n").over(Window.partitionBy("key", "more"))
+        found = keys.repartition(tasks, "key", "more").withColumn("times", times).where("times > 1").select("bucket", "key", "more")
+        if length < window:
+            found = written(found.drop("more"), "repeated")
 
     def cut(t: pa.Table, repeated: pa.Table) -> pa.Table:
         texts = Texts(t.column("text"), window)
-        hit = texts.starts & _repeated(window_hashes(texts.all, window), _numbers(repeated.column("key")))
+        hit = texts.starts.copy()
+        if len(hit):
+            hit &= _both_repeated(window_hashes(texts.all, window), texts.second(), _numbers(repeated.column("key")), _numbers(repeated.column("more")))
         edge = np.zeros(len(texts.all) + 1, np.int64)
         edge[:-window][hit] += 1
         edge[window:][hit] -= 1
@@ -172,7 +214,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW,
 
     schema = docs.select(*keep).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
     cut_schema = to_arrow_schema(schema)
-    return dealt.cogroup(found.groupBy("bucket")).applyInArrow(cut_or_none, schema)
+    return dealt.cogroup(back(found)).applyInArrow(cut_or_none, schema)
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -56,3 +58,15 @@ def test_cut_repeats(spark):
     by = {r.doc_id: r for r in cut.collect()}
     assert by[1].text == "" and by[4].text is None and by[6].text == "  \n\t " and by[3].text == ""
     assert by[10].text is not None and by[2].n_chars == len(by[2].text)
+
+
+def test_windows_that_agree_in_one_hash_alone():
+    a = np.array([5, 5, 7, 9, 9, 9], np.uint64)
+    b = np.array([1, 2, 3, 4, 5, 6], np.uint64)
+    keys, more = np.array([5, 9, 9, 11], np.int64), np.array([2, 6, 4, 1], np.int64)
+    assert substring._both_repeated(a, b, keys, more).tolist() == [False, True, False, True, False, True]
+    none = np.zeros(0, np.int64)
+    assert not substring._both_repeated(a, b, none, none).any()
+    texts = substring.Texts(pa.chunked_array([["a b c a b c d", "a b d"]]), 3)
+    key, more, n = texts.keys(3, texts.starts)
+    assert len(set(zip(key.tolist(), more.tolist(), strict=True))) == len(key) == 5 and sorted(n.tolist()) == [1, 1, 1, 1, 2]
