@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is a grouped minimum (combined map-side) and a join that Spark may split where one node has very
-many neighbours; nothing is gathered per node and nothing goes to the driver but two totals per round.
+Each step is a grouped minimum (combined map-side) and a join of the edges to it. The edges of a hub, a node with a large share of
+all edges, join where they are: minima of hubs are broadcast, and there are at most HUBS of them, whatever the data. So no task holds all edges
+of a hub, nothing is gathered per node, and nothing goes to the driver but two totals per round.
 """
 
 from __future__ import annotations
@@ -12,17 +13,33 @@ from pyspark.sql import functions as F
 from glyphora.llm._common import drop_written, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+#: Hubs of a step at most, and edges that a node must have to be one.
+HUBS, LEAST = 10_000, 64
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.union(least.select("u", F.col("m").alias("v")))
+def _with_least(edges: DataFrame, n: int, least: DataFrame) -> DataFrame:
+    """edges (u, v), n of them, and least (u, m, n) -> u, v, m."""
+    hub = F.col("n") > max(LEAST, n // HUBS)  # fewer than HUBS nodes can have that many
+    few = least.where(hub).select("u", "m")
+    rest = edges.join(F.broadcast(few), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u")
+    return edges.join(F.broadcast(few), "u").unionByName(rest)
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    return written(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+
+
+def _round(now: DataFrame, n: int) -> DataFrame:
+    """A large-star and a small-star step; edges have u > v before and after."""
+    both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = _least(both)
+    large = written(_with_least(both, 2 * n, least).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), "large")
+    down = _least(large)
+    hung = _with_least(large, n, down).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    after = written(hung.union(down.select("u", "m")).distinct(), "cc")
+    for done in (now, least, large, down):
+        drop_written(done)
+    return after
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -37,9 +54,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        after = written(_small_star(_large_star(now)).distinct(), "cc")
-        drop_written(now)
-        now, before, seen = after, seen, total(after)
+        now, before = _round(now, seen[0]), seen
+        seen = total(now)
         if tuple(before) == tuple(seen):
             break
     else:

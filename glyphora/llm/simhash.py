@@ -1,19 +1,20 @@
 """SimHash near-duplicates: fingerprints, and a Gray-order hierarchical index to link them.
 
 Fingerprints are reduced to their distinct values first, so copies never meet each other. Two 64-bit values
-that differ in at most 3 bits agree in one of four 16-bit blocks; each distinct value is dealt out by its four
-blocks. Within a block's bucket the values stand in order of their Gray rank, in which neighbours share many bits. Runs
+that differ in at most 3 bits agree in all but 3 of some blocks of their bits; each distinct value is dealt out by what is left when any 3 blocks are taken
+away: 4 blocks of 16 bits, or more and finer ones for more values, so that buckets stay small. A bucket with more than `HOT` values is dealt out again, by 4 blocks of the
+bits that its values don't share by being in it, and so on: no bucket is compared with another, and none grows with the data. Within a
+bucket the values stand in order of their Gray rank, in which neighbours share many bits. Runs
 of 16 values form a node, runs of 16 nodes an upper node; a node holds the mask of bits that all of it share.
 Two nodes differ at least in the masked bits in which they disagree: those differences are added up on the
 way down and a pair of groups is dropped as soon as they exceed the limit, before any value is looked at.
 Groups that are already in one component are skipped as well, since only components are asked for.
-Buckets above `HOT` values are cut into chunks along the Gray order. Chunks are nodes too: pairs of chunks
-that survive the mask test are dealt out to separate tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ from glyphora.llm.components import connected_components
 MOST = 3
 #: Values of a node, nodes of an upper node.
 FAN = 16
-#: A bucket of more distinct values is cut into chunks of CHUNK.
-HOT, CHUNK = 16_384, 4_096
+#: A bucket of more distinct values is dealt out again.
+HOT = 16_384
+#: Values up to which 4 and 5 blocks do (1,000 a bucket on average, were they random); 6 beyond.
+FOUR, FIVE = 1 << 26, 1 << 35
 #: Pairs that a step of the search expands at once.
 STEP = 1 << 20
 
@@ -197,59 +200,45 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key and Gray rank -> runs of up to CHUNK values of a key, with their masks."""
-    def rows(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        at = [s for b, e in zip(*(lambda g: (g[:-1], g[1:]))(np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))), strict=True) for s in range(b, e, CHUNK)]
-        runs = np.split(fp, at[1:])
-        ones = [int(np.bitwise_and.reduce(x)) for x in runs]
-        zeros = [int(np.bitwise_and.reduce(~x)) for x in runs]
-        codes = [x.tobytes() for x in runs]
-        uid = [xxhash.xxh64_intdigest(c, int(k)) - (1 << 63) for c, k in zip(codes, key[at], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(uid, pa.int64()), pa.array(ones, pa.int64()), pa.array(zeros, pa.int64()), pa.array(codes, pa.binary())], ["key", "uid", "ones", "zeros", "codes"])
+def _cut(bits: list[int], parts: int) -> list[int]:
+    """Masks of a run of bits each, all together the given bits."""
+    cuts = [len(bits) * k // parts for k in range(parts + 1)]
+    return [sum(1 << b for b in bits[x:y]) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-        if sum(len(k) for k, _ in held) >= 64 * CHUNK:
-            yield rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held = []
-    if held and sum(len(k) for k, _ in held):
-        yield rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
+def masks(blocks: int) -> list[int]:
+    """What is left of 64 bits if any MOST of `blocks` blocks are taken away."""
+    parts = _cut(list(range(64)), blocks)
+    return [sum(own) for own in combinations(parts, blocks - MOST)]
 
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (codes, other) -> edges within and between the two chunks."""
-    for batch in batches:
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            same = x == y
-            index = Index(a if same else np.concatenate([a, b]), np.array([0, len(a)] if same else [0, len(a), len(a) + len(b)]))
-            index.link(_within(index))
-            if not same:
-                m, n = index.group_top[1], index.group_top[2]
-                index.link((np.full(n - m, k), np.arange(m, n)) for k in range(m))
-            yield index.edges()
-
-
-def links(values: DataFrame) -> DataFrame:
-    """values (fp long), distinct -> edges (u, v) whose components are those of all pairs within MOST bits."""
-    block = F.explode(F.array(*[F.lit(k << 16).bitwiseOR(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") for k in range(4)]))
-    dealt = values.select(block.alias("key"), "fp").withColumn("gray", gray_rank(F.col("fp")))
-    hot = dealt.groupBy("key").count().where(F.col("count") > HOT).select("key")
-    hot = written(hot, "hot")
-    cold = dealt.join(hot, "key", "left_anti") if hot.count() else dealt
-    edges = cold.repartition("key").sortWithinPartitions("key", "gray").select("key", "fp").mapInArrow(_local, "u long, v long")
-    if cold is dealt:
-        return edges
-    chunk = dealt.join(hot, "key", "left_semi").repartitionByRange("key", "gray").sortWithinPartitions("key", "gray").select("key", "fp")
-    chunk = written(chunk.mapInArrow(_chunks, "key int, uid long, ones long, zeros long, codes binary"), "chunks")
-    a, b = (chunk.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("uid", "ones", "zeros")]) for k in "ab")
-    apart = F.bit_count(F.col("onesa").bitwiseAND(F.col("zerosb")).bitwiseOR(F.col("zerosa").bitwiseAND(F.col("onesb"))))
-    pairs = a.join(b, "key").where(F.col("uida") <= F.col("uidb")).where(apart <= MOST).select("uida", "uidb").distinct()
-    codes = chunk.select("uid", "codes").dropDuplicates(["uid"])
-    pairs = pairs.join(codes.withColumnRenamed("uid", "uida"), "uida").join(codes.withColumnRenamed("uid", "uidb").withColumnRenamed("codes", "other"), "uidb")
-    return edges.union(pairs.repartition("uida", "uidb").select("codes", "other").mapInArrow(_between, "u long, v long"))
+
+def finer(mask: int) -> list[int]:
+    """The mask with each of MOST + 1 blocks of the other bits: values that agree in it and differ in at most MOST bits agree in one of these."""
+    return [mask | more for more in _cut([b for b in range(64) if not mask >> b & 1], MOST + 1)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def links(values: DataFrame, n: int, hot: int | None = None) -> DataFrame:
+    """values (fp long), distinct, n of them -> edges (u, v) whose components are those of all pairs within MOST bits."""
+    hot, edges = max(16, hot or HOT), None  # so a hot bucket has enough bits left for MOST + 1 blocks
+    first = [_signed(m) for m in masks(4 if n <= FOUR else 5 if n <= FIVE else 6)]
+    dealt = values.select("fp", F.explode(F.array(*[F.lit(m) for m in first])).alias("mask"))
+    while True:
+        dealt = dealt.withColumn("key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))  # buckets that share a key share a search, no more
+        many = written(dealt.groupBy("key", "mask").count().where(F.col("count") > hot).select("key", "mask"), "hot")
+        again = [r.mask for r in many.select("mask").distinct().collect()]  # of a level's 4, 16, … masks
+        cold = dealt.join(many, ["key", "mask"], "left_anti") if again else dealt
+        found = cold.withColumn("gray", gray_rank(F.col("fp"))).repartition("key").sortWithinPartitions("key", "gray").select("key", "fp").mapInArrow(_local, "u long, v long")
+        edges = found if edges is None else edges.union(found)
+        if not again:
+            return edges
+        deeper = [(m, _signed(x)) for m in again for x in finer(m % (1 << 64))]
+        deeper = values.sparkSession.createDataFrame(deeper, "mask long, finer long")  # four rows a mask
+        inner = dealt.join(many, ["key", "mask"], "left_semi").join(F.broadcast(deeper), "mask")
+        dealt = written(inner.select("fp", F.col("finer").alias("mask")).distinct(), "dealt")
 
 
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -262,7 +251,7 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     rows = written(fingerprints(docs, keep), "fingerprints")
     values = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     values = written(values, "values")
-    comps = connected_components(links(values.select("fp")))
+    comps = connected_components(links(values.select("fp"), values.count()))
     rooted = values.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.join(names, "root").select("fp", "root", "component_id"), "named")

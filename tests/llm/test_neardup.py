@@ -3,6 +3,7 @@ import re
 
 import xxhash
 
+from glyphora.llm import components as components_module
 from glyphora.llm import simhash
 from glyphora.llm.components import connected_components
 
@@ -40,7 +41,7 @@ def test_fingerprints_and_components(spark):
         assert r.component_id == ids.get(least[r.fp % (1 << 64)])
 
 
-def test_index_against_brute_force(spark, monkeypatch):
+def test_index_against_brute_force(spark):
     rng = random.Random(3)
     base = rng.getrandbits(64)
     values = {base} | {rng.getrandbits(64) for _ in range(300)}
@@ -52,13 +53,36 @@ def test_index_against_brute_force(spark, monkeypatch):
     values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
     want = components(values, near)
     df = spark.createDataFrame([(v,) for v in values], "fp long")
-    for hot, chunk in ((16_384, 4_096), (100, 32)):  # the second cuts most buckets into chunks
-        monkeypatch.setattr(simhash, "HOT", hot)
-        monkeypatch.setattr(simhash, "CHUNK", chunk)
-        got = dict(connected_components(simhash.links(df)).collect())
+    for n, hot in ((1, None), (simhash.FOUR + 1, None), (simhash.FIVE + 1, None), (1, 16)):  # coarse, fine and finer blocks; the last deal most buckets out again
+        got = dict(connected_components(simhash.links(df, n, hot)).collect())
         assert all(got.get(v, v) == want[v] for v in values)
 
 
+def test_blocks():
+    rng = random.Random(1)
+    for blocks in (4, 5, 6):
+        assert all(any((a ^ b) & m == 0 for m in simhash.masks(blocks)) for a, b in near_pairs(rng, 500))
+    for a, b in near_pairs(rng, 500):
+        mask = rng.getrandbits(64) & ~(a ^ b)
+        assert any((a ^ b) & m == 0 for m in simhash.finer(mask)) and all(m & mask == mask for m in simhash.finer(mask))
+    assert simhash.finer((1 << 64) - 1) == [] and len(simhash.finer((1 << 64) - 8)) == 3
+
+
+def near_pairs(rng, n):
+    for _ in range(n):
+        a = rng.getrandbits(64)
+        yield a, a ^ sum(1 << k for k in rng.sample(range(64), 3))
+
+
+def test_a_hub_is_in_no_task_whole(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 2000)] + [(i, i + 5000) for i in range(1, 300)], "u long, v long")
+    both = edges.union(edges.selectExpr("v as u", "u as v"))
+    full = components_module._with_least(both, 2 * edges.count(), components_module._least(both))
+    held = full.selectExpr("spark_partition_id() as p", "u").where("u = 0").groupBy("p").count().collect()
+    assert full.where("u = 0").count() == 1999 and max(r["count"] for r in held) < 1200 and full.where("u = 0 and m <> 1").count() == 0
+    assert {r.root for r in connected_components(edges).collect()} == {0}
+
+
 def test_gray_rank_orders_neighbours(spark):
     rows = spark.range(16).selectExpr("id ^ shiftrightunsigned(id, 1) as fp", "id")
     ranks = [r.r - -(1 << 63) for r in rows.select(simhash.gray_rank(rows.fp).alias("r"), "id").orderBy("id").collect()]
