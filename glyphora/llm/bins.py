@@ -1,7 +1,8 @@
 """Best-fit packing of documents into sequences by hierarchical residual packing.
 
-Partitions pack their pieces best-fit-decreasing and give out the sequences that can take no further item;
-underfull ones go up a tree of partitions, each as one item, to be packed with those of other partitions.
+Partitions pack their pieces best-fit-decreasing. After that no two sequences of a partition fit together, so at most one is half full
+or less. That one and the `UP` roomiest others go up a tree of partitions, each as one item, to be packed with those of other partitions; all others are given
+out. So a node of the tree packs FAN * (UP + 1) items at most, however many partitions there are.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,10 @@ from glyphora.llm._common import keyed, text_steps, written
 from glyphora.llm.tokens import best_fit_decreasing, tokenizer
 
 CAPACITY = 4096
-#: Pieces that one partition of the lowest level packs, and partitions that a node of the tree merges.
+#: Pieces that one partition of the lowest level packs, about, and partitions that a node of the tree merges.
 LEAF, FAN = 100_000, 8
+#: Sequences that a node sends up beside its emptiest, and partitions of the lowest level at most (a bin's number has 20 bits for its node).
+UP, NODES = 64, 1 << 20
 #: Bytes of text that are encoded at once.
 STEP = 8 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -58,38 +62,48 @@ _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 BIN = f"node int, bin long, size int, open boolean, members array<{MEMBER}>"
 
 
-def _pack(hosts: int, capacity: int, level: int):
-    """Kernel: rows (node, size, members), those of a node together -> BIN.
-
-    Open is an underfull bin that may still meet another. After best fit no two bins of a node fit together, so
-    at most one of a node is half full or less; all nodes together have `hosts` such bins at most, and each needs one
-    roomier bin to go into. So beside its smallest bin a node sends up its `hosts` roomiest ones; the others
-    could only stand in for those, and are given out.
-    """
-
-    def node_bins(node: int, sizes: list[int], members: list[list[dict]]) -> pa.RecordBatch:
-        where, _, made = best_fit_decreasing(sizes, capacity)
-        filled, inside = [0] * made, [[] for _ in range(made)]
-        for k, b in enumerate(where):
-            inside[b] += [m | {"offset": m["offset"] + filled[b]} for m in members[k]]
-            filled[b] += sizes[k]
-        roomy = {b for b in sorted(range(made), key=lambda b: filled[b])[: hosts + 1] if filled[b] < capacity}
-        ids = [(level << 56) | (node << 36) | b for b in range(made)]
-        arrays = [pa.array([node] * made, pa.int32()), pa.array(ids, pa.int64()), pa.array(filled, pa.int32()), pa.array([b in roomy for b in range(made)]), pa.array(inside, pa.list_(_MEMBER))]
+def _pack(up: int, capacity: int, level: int):
+    """Kernel: rows (node, size, members), those of a node together, largest first -> BIN. Open: sent up to be packed further."""
+
+    def node_bins(node: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        sizes, members = table.column(1).to_numpy(), table.column(2).combine_chunks()
+        members = members.chunk(0) if isinstance(members, pa.ChunkedArray) else members
+        where, _, made = best_fit_decreasing(sizes.tolist(), capacity)
+        where = np.array(where)
+        order = np.argsort(where, kind="stable")
+        first = np.searchsorted(where[order], np.arange(made))
+        before = np.cumsum(sizes[order]) - sizes[order]
+        base = before - np.repeat(before[first], np.diff(np.append(first, len(order))))  # where each item begins in its bin
+        inside = members.take(pa.array(order))
+        counts = pc.list_value_length(inside).to_numpy()
+        flat = inside.flatten()
+        cols = [flat.field(f.name) for f in _MEMBER][:-1] + [pa.array(flat.field("offset").to_numpy() + np.repeat(base, counts))]
+        ends = np.append(np.cumsum(counts)[first[1:] - 1], counts.sum())
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.StructArray.from_arrays(cols, fields=list(_MEMBER)))
+        filled = np.add.reduceat(sizes[order], first)
+        open_ = np.zeros(made, bool)
+        roomiest = np.argsort(filled, kind="stable")[: up + 1] if up >= 0 else []
+        open_[roomiest] = filled[roomiest] < capacity
+        ids = (level << 56) | (node << 36) | np.arange(made)
+        arrays = [pa.array(np.full(made, node, np.int32)), pa.array(ids), pa.array(filled.astype(np.int32)), pa.array(open_), lists]
         return pa.RecordBatch.from_arrays(arrays, ["node", "bin", "size", "open", "members"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, sizes, members = None, [], []
+        node, held = None, []
         for batch in batches:
-            for n, s, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if n != node and sizes:
-                    yield node_bins(node, sizes, members)
-                    sizes, members = [], []
-                node = n
-                sizes.append(s)
-                members.append(m)
-        if sizes:
-            yield node_bins(node, sizes, members)
+            nodes = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(nodes)]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                if at == to:
+                    continue
+                if held and nodes[at] != node:
+                    yield node_bins(node, held)
+                    held = []
+                node = int(nodes[at])
+                held.append(batch.slice(at, to - at))
+        if held:
+            yield node_bins(node, held)
 
     return kernel
 
@@ -104,14 +118,14 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY,
     all_pieces = written(pieces(docs, path, end_id, capacity), "pieces")
     full = all_pieces.where(F.col("length") == capacity)
     rest = all_pieces.where(F.col("length") < capacity)
-    nodes = hosts = max(1, -(-rest.count() // leaf))
+    nodes = min(max(1, -(-rest.count() // leaf)), NODES)
     node = F.pmod(F.xxhash64("spread", "doc_id", "piece"), F.lit(nodes)).cast("int")
     member = F.array(F.struct(*own, F.lit(0).cast("long").alias("offset")))
     items = rest.select(node.alias("node"), F.col("length").cast("int").alias("size"), member.alias("members"))
     done, level = [], 1
     while True:
         dealt = items.repartition(nodes, "node").sortWithinPartitions("node", F.desc("size"), "members")
-        bins = written(dealt.mapInArrow(_pack(hosts if nodes > 1 else -1, capacity, level), BIN), f"bins{level}")
+        bins = written(dealt.mapInArrow(_pack(UP if nodes > 1 else -1, capacity, level), BIN), f"bins{level}")
         done.append(bins.where("not open") if nodes > 1 else bins)
         if nodes == 1:
             break

@@ -185,7 +185,7 @@ def best_fit_decreasing(sizes: list[int], capacity: int, roomy: Room | None = No
 
 
 #: Ids that a task packs together, and rows that stay open for the next such lot at most, the roomiest.
-LOT, OPEN = 2_000_000, 1024
+LOT, OPEN = 2_000_000, 4096
 PACKED = "row_id long, n_tokens int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
 
 

@@ -97,6 +97,22 @@ def test_bins_that_never_fit_together_leave_the_tree(spark):
     assert check_packing(rows.collect(), got, 100) == 200
 
 
+def test_a_node_sends_few_bins_up(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "word " * (k * 7 % 90)) for k in range(400)], "doc_id long, text string")
+    made = {}
+    for up in (bins.UP, 2, 0):  # nodes of 40 pieces, 20 bins each
+        monkeypatch.setattr(bins, "UP", up)
+        got = bins.pack(rows, PATH, capacity=100, leaf=40, fan=3).collect()
+        made[up] = check_packing(rows.collect(), got, 100) / -(-sum(r.length for r in got) // 100)
+    assert made[64] <= 1.02 and made[64] <= made[2] <= made[0] <= 1.1
+    kernel = bins._pack(2, 100, 1)
+    member = lambda k: [{"doc_id": k, "piece": 0, "start": 0, "length": 30 + k % 40, "ids_crc32": 0, "offset": 0}]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 50 + [1] * 50, pa.int32()), pa.array([30 + k % 40 for k in range(100)], pa.int32()), pa.array([member(k) for k in range(100)], pa.list_(bins._MEMBER))], ["node", "size", "members"])
+    made = list(kernel(iter([batch.slice(0, 30), batch.slice(30, 70)])))
+    assert [m.column(0)[0].as_py() for m in made] == [0, 1] and all(sum(m.column("open").to_pylist()) <= 3 for m in made)
+    assert sorted(x["doc_id"] for m in made for b in m.column("members").to_pylist() for x in b) == list(range(100))
+
+
 def test_packed_rows(spark):
     docs, end = edge_documents(spark), 50256
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -120,3 +136,14 @@ def test_packed_rows(spark):
             found.append(tuple(ids))
         assert set(found) <= set(want) and sum(r.n_tokens for r in rows) == sum(map(len, want))
     assert tokens.packed_rows(empty_documents(spark), path, public_tokenizers.PATTERN, end).count() == 0
+
+
+def test_one_unbroken_word_of_megabytes(spark):
+    rows = spark.createDataFrame([(1, "x" * 1_500_000), (2, "ab" * 400_000 + " end")], "doc_id long, text string")
+    got = bins.pack(rows, PATH).collect()
+    assert check_packing(rows.collect(), got, 4096) <= -(-sum(r.length for r in got) // 4096) + 1
+    packed = tokens.packed_rows(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256, 2048).collect()
+    plain = tokens.RankTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).inner
+    parts = sorted((d, s, np.frombuffer(r.ids, "<u2")[a:b].tolist()) for r in packed for d, s, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:], strict=False))
+    for d, text in ((1, "x" * 1_500_000), (2, "ab" * 400_000 + " end")):
+        assert plain.decode([i for doc, _, ids in parts if doc == d for i in ids][:-1]) == text
