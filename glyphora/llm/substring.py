@@ -5,7 +5,7 @@ length, until the length asked for is reached or no candidate survives. A window
 a shorter length by its least sub-window (by hash): equal windows have equal least sub-windows, so no
 repeat is lost, and neighbouring windows mostly share theirs, so that few keys travel.
 
-Documents are dealt into buckets of bounded size once; that exchange serves each level. A bucket sends each
+Documents are dealt into buckets of bounded size once; that exchange serves each level, and its files are what a level starts from again. A bucket sends each
 of its keys once, with how often it has it (1, or 2 for more), and gets back those that are repeated somewhere. So
 the rows of a key, however common, are at most one per bucket, and there are at most BUCKETS of these: 30 MB in the task that
 adds them up. No text leaves its bucket. Short windows only find candidates, by one hash of 64 bits; whether a full
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from glyphora.llm._common import window_hashes, words_of, written
+from glyphora.llm._common import window_hashes, words_of
 
 #: Words of a window that is removed if repeated, and of the first level.
 WINDOW, START = 35, 9
@@ -33,8 +33,8 @@ WINDOW, START = 35, 9
 BUCKET = 8 << 20
 #: Buckets at most: beyond 8 TB of text they get larger.
 BUCKETS = 1 << 20
-#: Buckets of a task, about, and tasks of an exchange at most.
-TOGETHER, TASKS = 4, 50_000
+#: Tasks of an exchange at most; one for each bucket up to that.
+TASKS = 50_000
 KEY = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("more", pa.int64()), ("n", pa.int32())])
 KEY_DDL = "bucket int, key long, more long, n int"
 
@@ -167,7 +167,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW,
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
     buckets = max(1, min(BUCKETS, -(-total // bucket)), min(cores, -(-8 * total // bucket)))  # on few data, smaller ones for all cores
-    tasks = min(max(min(cores, buckets), -(-buckets // TOGETHER)), TASKS)  # grow with the data, so that tasks don't
+    tasks = min(buckets, TASKS)  # grow with the data, so that what one reads doesn't
     text = F.coalesce("text", F.lit(""))
     given = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), text.alias("text"), F.struct(*keep).alias("own"))
     dealt = given.repartition(tasks, "bucket").groupBy("bucket")
@@ -181,8 +181,6 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW,
             keys = dealt.cogroup(back(found)).applyInArrow(_further(window, below, length), KEY_DDL)
         times = F.sum("n").over(Window.partitionBy("key", "more"))
         found = keys.repartition(tasks, "key", "more").withColumn("times", times).where("times > 1").select("bucket", "key", "more")
-        if length < window:
-            found = written(found.drop("more"), "repeated")
 
     def cut(t: pa.Table, repeated: pa.Table) -> pa.Table:
         texts = Texts(t.column("text"), window)
