@@ -8,7 +8,7 @@ at most `fit_rows` training rows, as many of each class if there are, and Platt'
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,7 +138,25 @@ def sample(rows: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
     return [held[key] for key in wanted], np.array([c for _, c in wanted], np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def descend(row: Callable[[int], tuple[np.ndarray, np.ndarray]], y: np.ndarray, passes: int, size: int = SIZE) -> tuple[np.ndarray, float, np.ndarray]:
+    """Dual coordinate descent for the hinge loss, bias as a feature of 1: weights, bias and the rows' multipliers, each from 0 to COST.
+
+    row(i): numbers and values of the features of row i. Rows come in another order in each pass, always the same ones.
+    """
+    w, bias, alpha, order = np.zeros(size), 0.0, np.zeros(len(y)), np.random.default_rng(0)
+    for _ in range(passes):
+        for i in order.permutation(len(y)):
+            found, v = row(i)
+            gradient = y[i] * (float(w[found] @ v) + bias) - 1.0
+            new = min(max(alpha[i] - gradient / (float(v @ v) + 1.0), 0.0), COST)
+            if step := (new - alpha[i]) * y[i]:
+                w[found] += step * v
+                bias += step
+                alpha[i] = new
+    return w, bias, alpha
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, passes: int = PASSES) -> Model:
     """Log-count ratios over all training rows, hinge loss by dual coordinate descent over at most fit_rows.
 
     With no training row of one class, every score is 1 if class 1 is there, 0.5 if none is, else 0.
@@ -158,16 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         v = ratios[found]
         return found, v / np.float32(np.sqrt(np.sum(v.astype(np.float64) ** 2)) or 1.0)
 
-    w, bias, alpha, order = np.zeros(SIZE), 0.0, np.zeros(n), np.random.default_rng(0)
-    for _ in range(PASSES):
-        for i in order.permutation(n):
-            found, v = row(i)
-            gradient = y[i] * (float(w[found] @ v) + bias) - 1.0
-            new = min(max(alpha[i] - gradient / (float(v @ v) + 1.0), 0.0), COST)
-            if step := (new - alpha[i]) * y[i]:
-                w[found] += step * v
-                bias += step
-                alpha[i] = new
+    w, bias, _ = descend(row, y, passes)
     w = BETA * w + (1 - BETA) * np.abs(w).mean()  # between the fitted weights and plain naive Bayes
     margins = np.array([float(w[found] @ v) + bias for found, v in map(row, range(n))])
     slope, offset = platt(margins, y)

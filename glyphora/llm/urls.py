@@ -1,6 +1,7 @@
 """URL filter: rules first, then gradient-boosted trees on lexical features, all in DataFrame functions.
 
-The trees are grown from URLs that rules decide. Labelled URLs are reduced to counts per vector of feature bins; each
+The trees are grown from URLs that rules decide, but for those of some hosts, which are held out to measure them by. How often URLs of a suffix are blocked is
+a feature as well; of a URL that trees are grown from, it leaves out the URLs of hosts in the same fold, so that no URL tells its own label. Labelled URLs are reduced to counts per vector of feature bins; each
 level of a tree is one grouped sum of gradients by (node, feature, bin), of which a bounded table goes to the driver.
 """
 
@@ -24,6 +25,8 @@ RULES = [
 ]
 #: Trees, their depth, step size, and ridge of leaf values.
 TREES, DEPTH, RATE, RIDGE = 12, 3, 0.3, 1.0
+#: Folds that hosts are dealt to; those of fold 0 are held out.
+FOLDS = 5
 #: Upper ends of the bins of each feature (the last bin is open).
 EDGES = {
     "length": [20, 25, 30, 35, 40, 50, 60, 80, 120, 250],
@@ -51,6 +54,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def suffix_of(host: Column) -> Column:
+    """The last label, without user and port."""
+    return F.substring_index(F.regexp_replace(F.substring_index(host, "@", -1), r":[0-9]*$", ""), ".", -1)
+
+
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] | None = None) -> tuple[Column, Column]:
     """The longest rule that fits host (or a domain above it) and path, as text, and its verdict; null if none does."""
     rule = verdict = F.lit(None).cast("string")
@@ -164,25 +172,33 @@ def grow(counts: DataFrame, names: list[str], trees: int = TREES, depth: int = D
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """pages (page_id, url) -> page_id, host, path, rule, verdict (allow or block), score double (of being blocked).
+    """pages (page_id, url) -> page_id, host, path, rule, verdict (allow or block), score double (of being blocked), held_out boolean.
 
     Where no rule fits, the verdict is block from a score of 0.5. If rules decide no URL, or all alike, then it is theirs
-    (allow, if none). One row per row; null and malformed URLs have empty host and path.
+    (allow, if none). One row per row; null and malformed URLs have empty host and path. held_out: URLs of its host train nothing, whatever rules say
+    of them; if no others are decided, they train after all.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", "url").select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict, "suffix": F.substring_index("host", ".", -1)})
-    stats = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.sum((F.col("ruled") == "block").cast("int")).alias("b"), F.count("ruled").alias("r"))
-    stats = written(stats, "suffixes")
-    total = stats.agg(F.sum("n")).first()[0] or 1
-    stats = stats.select("suffix", F.log(F.col("n") / float(total)).alias("suffix_share"), ((F.coalesce("b", F.lit(0)) + 1.0) / (F.col("r") + 2.0)).alias("suffix_rate"))
-    rows = rows.join(stats, "suffix", "left")
-    found = lexical(F.col("url"), F.col("host"), F.col("path")) | {c: F.col(c) for c in ("suffix_share", "suffix_rate")}
-    rows = rows.select("page_id", "host", "path", "rule", "ruled", *[_bin(v, EDGES[c]).alias(f"bin_{c}") for c, v in found.items()])
+    rows = rows.withColumns({"rule": rule, "ruled": verdict, "suffix": suffix_of(F.col("host")), "fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")})
+    blocked = F.sum((F.col("ruled") == "block").cast("int"))
+    by_fold = written(rows.groupBy("suffix", "fold").agg(F.count("*").alias("n"), blocked.alias("b"), F.count("ruled").alias("r")), "suffixes")
+    total, trains = by_fold.agg(F.sum("n"), F.sum(F.when(F.col("fold") > 0, F.col("r")))).first()
+    least = 1 if trains else 0  # the first fold that trains
+    told = F.when(F.col("fold") >= least, F.struct(F.coalesce("b", F.lit(0)).alias("b"), "r"))
+    all_ = by_fold.groupBy("suffix").agg(
+        F.log(F.sum("n") / float(total or 1)).alias("suffix_share"), F.coalesce(F.sum(told["b"]), F.lit(0)).alias("b"), F.coalesce(F.sum(told["r"]), F.lit(0)).alias("r"),
+        F.map_from_entries(F.collect_list(F.struct("fold", told.alias("told")))).alias("folds"),
+    )  # FOLDS entries at most
+    rows = rows.join(all_, "suffix", "left")
+    own = F.when(F.col("ruled").isNotNull(), F.try_element_at("folds", "fold"))
+    rate = (F.col("b") - F.coalesce(own["b"], F.lit(0)) + 1.0) / (F.col("r") - F.coalesce(own["r"], F.lit(0)) + 2.0)
+    found = lexical(F.col("url"), F.col("host"), F.col("path")) | {"suffix_share": F.col("suffix_share"), "suffix_rate": rate}
+    rows = rows.select("page_id", "host", "path", "rule", "ruled", "fold", *[_bin(v, EDGES[c]).alias(f"bin_{c}") for c, v in found.items()])
     names = [f"bin_{c}" for c in found]
-    counts = rows.where("ruled is not null").groupBy(*names).agg(F.count("*").alias("n"), F.sum((F.col("ruled") == "block").cast("int")).alias("blocked"))
+    counts = rows.where(F.col("ruled").isNotNull() & (F.col("fold") >= least)).groupBy(*names).agg(F.count("*").alias("n"), blocked.alias("blocked"))
     forest = grow(written(counts, "bins"), names)
     p = 1.0 / (1.0 + F.exp(-_margin(forest, {c: F.col(c) for c in names})))
-    own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
-    return rows.withColumn("score", p).select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
+    by_score = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
+    return rows.withColumn("score", p).select("page_id", "host", "path", "rule", F.coalesce("ruled", by_score).alias("verdict"), "score", (F.col("fold") < least).alias("held_out"))

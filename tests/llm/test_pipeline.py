@@ -2,7 +2,7 @@ import corpus_pipeline
 import public_tokenizers
 from glyphora.llm import quality, queries
 
-from .helpers import components
+from .helpers import components, edge_documents
 from .test_neardup import near, slow_fingerprint
 from .test_substring import slow
 from .test_tokens import check_packing
@@ -63,3 +63,26 @@ def test_each_stage_against_brute_force(spark):
 def test_names():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] and set(queries.oracle_sql()) <= set(names)
+
+
+def test_run_on_edges(spark, tmp_path):
+    """Nulls, empty and repeated rows, clashing columns; then empty tables."""
+    docs = edge_documents(spark)
+    docs.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, None), (7, 1, 0), (11, 0, 0), (14, None, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "a" / "labels.parquet"))
+    spark.createDataFrame([(1, None), (None, "x"), (2, "gnu general public license and more of the same words here")], "item_id long, text string").write.parquet(str(tmp_path / "a" / "benchmark.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "b" / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "b" / "benchmark.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "a"))
+    assert rows.columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"]
+    given = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, given, str(tmp_path / "a"))
+        assert made.columns == docs.columns
+        given = spark.createDataFrame(made.collect(), docs.schema)
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    check_packing(given.collect(), rows.collect(), 4096)
+    assert sorted(key(r[:5]) for r in rows.collect()) == sorted(key(r[:5]) for r in corpus_pipeline.best_fit_packing(spark, given, "").collect())
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from glyphora.llm import quality
@@ -76,3 +77,57 @@ def test_sample_is_of_rows_whatever_their_length_and_order(spark):
     assert again[0] == found and (again[1] == classes).all()
     twice = quality.sample(quality.labelled(docs.where("doc_id < 60").union(docs.where("doc_id < 60")), labels), 1000)
     assert len(twice[1]) == 2 * len(train) - 2
+
+
+def test_descent_reaches_the_optimum():
+    """The optimality conditions of the dual, and the primal loss against points around, on dense rows."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(60, 8)), np.where(rng.random(60) < 0.5, 1, -1)
+    x[:, 0] += 0.8 * y
+    w, bias, alpha = quality.descend(lambda i: (np.arange(8), x[i]), y, 2000, 8)
+    assert np.allclose(w, (alpha * y) @ x) and np.isclose(bias, (alpha * y).sum())
+    margin = y * (x @ w + bias)
+    assert (margin[alpha < 1e-9] >= 1 - 1e-4).all() and (margin[alpha > quality.COST - 1e-9] <= 1 + 1e-4).all()
+    assert np.allclose(margin[(alpha > 1e-6) & (alpha < quality.COST - 1e-6)], 1, atol=1e-4)
+    loss = lambda v: 0.5 * v @ v + quality.COST * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])).sum()
+    best = np.append(w, bias)
+    assert all(loss(best) <= loss(best + s * rng.normal(size=9)) + 1e-6 for s in (1e-3, 1e-2, 0.1, 1) for _ in range(50))
+
+
+def slow_grams(text):
+    """Byte 3- and 4-grams of a text, by their hashes."""
+    m = (1 << 32) - 1
+    out = set()
+    for i in range(len(text) - 2):
+        three = int.from_bytes(text[i : i + 3], "big")
+        out.add((three * 0x85EBCA6B & m) >> 14)
+        if i + 3 < len(text):
+            out.add((((three ^ (text[i + 3] * 0x01000193 & m)) * 0x9E3779B1) & m) >> 14)
+    return {h % (quality.SIZE - 16) for h in out}
+
+
+def test_fit_against_brute_force(spark):
+    """Ratios by counting, weights by the plain algorithm over dense rows, scores by the formula."""
+    rng = random.Random(7)
+    good, bad = ["amber", "birch", "cedar", "delta"], ["xoxo", "zzzt", "qqq"]
+    text = lambda q: " ".join(rng.choice(good if rng.random() < (0.8 if q else 0.3) else bad) for _ in range(rng.randint(8, 16)))
+    rows = [(k, text(k % 2), k % 2) for k in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q, 0) for k, _, q in rows], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels, passes=3)
+    train = [(t.encode(), q) for k, t, q in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    for t, _ in train:
+        assert {int(f) for f in quality.features(t) if f < quality.SIZE - 16} == slow_grams(t)
+    dense = np.zeros((len(train), quality.SIZE), bool)
+    for i, (t, _) in enumerate(train):
+        dense[i, quality.features(t)] = True
+    classes = np.array([q for _, q in train])
+    p, n = dense[classes == 1].sum(axis=0) + 1.0, dense[classes == 0].sum(axis=0) + 1.0
+    ratios = np.log((p / p.sum()) / (n / n.sum()))
+    assert np.allclose(model.ratios, ratios, atol=1e-5)
+    margin = lambda t: sum(float(model.weights[f]) for f in quality.features(t)) / np.sqrt(sum(ratios[f] ** 2 for f in quality.features(t))) + model.bias
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for k, t, _ in rows[:40]:
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-(model.slope * margin(t.encode()) + model.offset))), abs=1e-4)
+    held = [(got[k], q) for k, _, q in rows if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert sum((s > 0.5) == q for s, q in held) / len(held) > 0.8

@@ -100,3 +100,8 @@ def test_bounds_hold():
     plain = np.abs(np.sqrt(p.distances(q, np.zeros(9)))[:, None] - np.sqrt(p.distances(x, np.sqrt(top - (x**2).sum(axis=1))))[None]).max(axis=2)
     slack = topk.SLACK * np.sqrt(top)
     assert len(p.points) == 12 and (bound <= true + slack).all() and (bound >= plain - slack).all()
+
+
+def test_mixed_dimensions_with_few_rows(spark):
+    rows = [(100, [1.0, 2.0]), (1, [3.0, 4.0]), (200, [1.0, 2.0, 3.0]), (300, [1.0]), (2, [5.0]), (3, [5.0]), (400, []), (4, []), (5, [])]
+    assert result(spark, rows) == brute(rows, 10) and len(result(spark, rows)) == 5
