@@ -230,3 +230,12 @@ def number_html(text: str) -> str:
     """A number as HTML: marks and signs in parentheses in spans."""
     part = lambda p: re.sub(r"[!?*]+", lambda m: f"<span class='critics'>{m[0]}</span>", p)
     return "".join(part(p) + (f"<span class='signspec'>{html(parse(s))}</span>" if s else "") for p, s in number_specs(text))
+
+
+def number_html_column(text):
+    return _each(number_html, "string")(text)
+
+
+def number_specs_column(text):
+    """array<struct<value, spec>> of a number."""
+    return _each(lambda x: [{"value": v, "spec": s} for v, s in number_specs(x)], "array<struct<value:string,spec:string>>")(text)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphora.operators import names
 from glyphora.operators.signlist import Tables
 from glyphora.schemas import schema
 
@@ -142,6 +143,19 @@ def make_glyph_value(t: Tables, composed: DataFrame, value_id: int, new_value_id
     return delete_value(t | {"glyph_values": t["glyph_values"].unionByName(rows)}, value_id)
 
 
+def add_name_code(t: Tables, signlist: Tables, pn_type: str, language: str, normal_form: str | None, code: str) -> tuple[Tables, int]:
+    """`add_name` with its spelling as code. Raises ValueError if it can't be read or encoded."""
+    return add_name(t, pn_type, language, normal_form, names.parse_meanings(code, signlist))
+
+
+def add_spelling_code(t: Tables, signlist: Tables, pn_id: int, code: str) -> tuple[Tables, int]:
+    return add_spelling(t, pn_id, names.parse_meanings(code, signlist))
+
+
+def edit_spelling_code(t: Tables, signlist: Tables, pn_id: int, pn_variant_no: int, code: str) -> Tables:
+    return edit_spelling(t, pn_id, pn_variant_no, names.parse_meanings(code, signlist))
+
+
 def add_name(t: Tables, pn_type: str, language: str, normal_form: str | None, meanings: list[dict]) -> tuple[Tables, int]:
     """A proper noun with its first spelling -> tables (pns, pn_variants), pn_id."""
     n = _next(t["pns"], "pn_id")

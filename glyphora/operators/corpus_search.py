@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphora.functions import position
 from glyphora.functions.code import read
-from glyphora.operators import editing, encoder, html, rewriting, serialize
+from glyphora.operators import editing, encoder, history, html, rewriting, serialize
 from glyphora.plans import search as plan
 from glyphora.plans.pattern import Choice, Group, Leaf, branches, parse
 
@@ -19,17 +19,27 @@ KEY = "transliteration_id"
 def relation(t: dict[str, DataFrame], composed: DataFrame) -> DataFrame:
     """transliteration_id, sign_no, pos, next_pos, word_no, compound_no, line_no, value_id, sign_variant_id, grapheme_id, glyph_id, type,
     indicator_type, phonographic: a row per sign, and per component of it; and whether words, compounds and lines start and end with its sign."""
+    return sign_relation(t["corpus"].join(t["words"].select(KEY, "word_no", "compound_no"), [KEY, "word_no"]), composed, [KEY])
+
+
+def sign_relation(signs: DataFrame, composed: DataFrame, keys: list[str]) -> DataFrame:
+    """`relation` of signs (keys, sign_no, word_no, compound_no, line_no, value_id, sign_variant_id, type, indicator_type, phonographic)."""
     about = ["sign_no", "word_no", "compound_no", "line_no", "type", "indicator_type", "phonographic"]
-    signs = t["corpus"].join(t["words"].select(KEY, "word_no", "compound_no"), [KEY, "word_no"])
     at = position.pack(F.col("sign_no"), F.lit(0), F.lit(True))
     none = F.lit(None).cast("int")
-    whole = signs.select(KEY, *about, "value_id", "sign_variant_id", none.alias("grapheme_id"), none.alias("glyph_id"), at.alias("p"))
+    whole = signs.select(*keys, *about, "value_id", "sign_variant_id", none.alias("grapheme_id"), none.alias("glyph_id"), at.alias("p"))
     parts = composed.select("sign_variant_id", F.posexplode(F.arrays_zip("grapheme_ids", "glyph_ids")).alias("k", "x"), F.size("glyph_ids").alias("n"))
     each = signs.join(parts, "sign_variant_id")
     at = position.pack(F.col("sign_no"), F.col("k"), F.col("k") + 1 == F.col("n"))
-    each = each.select(KEY, *about, none.alias("value_id"), none.alias("sign_variant_id"), F.col("x.grapheme_ids").alias("grapheme_id"), F.col("x.glyph_ids").alias("glyph_id"), at.alias("p"))
+    each = each.select(*keys, *about, none.alias("value_id"), none.alias("sign_variant_id"), F.col("x.grapheme_ids").alias("grapheme_id"), F.col("x.glyph_ids").alias("glyph_id"), at.alias("p"))
     rows = whole.unionByName(each).withColumns({"pos": position.key(F.col("p")), "next_pos": position.successor(F.col("p"))}).drop("p")
-    return plan.with_edges(rows, [KEY])
+    return plan.with_edges(rows, keys)
+
+
+def update_transliterations(rows: DataFrame, t: dict[str, DataFrame], composed: DataFrame, ids: DataFrame) -> DataFrame:
+    """A kept `relation` after changes of the transliterations ids (transliteration_id): theirs anew, all others as they are."""
+    own = {name: t[name].join(ids, KEY, "left_semi") for name in ("corpus", "words")}
+    return rows.join(ids, KEY, "left_anti").unionByName(relation(own, composed))
 
 
 class Dictionary:
@@ -94,10 +104,10 @@ class Dictionary:
         return node
 
 
-def search(rows: DataFrame, text: str, signlist: dict[str, DataFrame]) -> DataFrame:
-    """transliteration_id, signs, words, lines, captures of a pattern over a `relation`; each match once."""
+def search(rows: DataFrame, text: str, signlist: dict[str, DataFrame], keys: list[str] | None = None, aliases: bool = True) -> DataFrame:
+    """keys (default transliteration_id), signs, words, lines, captures of a pattern over a `relation`; each match once. aliases: c j v stand for š ĝ ř."""
     words = Dictionary(signlist)
-    found = plan.matches(rows, branches(words.expanded(parse(text))), [KEY], words.condition)
+    found = plan.matches(rows, branches(words.expanded(parse(text, aliases))), keys or [KEY], words.condition)
     flat = found.withColumn("captures", F.map_entries("captures")).distinct()
     return flat.withColumn("captures", F.when(F.col("captures").isNotNull(), F.map_from_entries("captures")))
 
@@ -181,10 +191,15 @@ def _apply(make: Callable[[editing.Text, dict], editing.Text]) -> Callable[[edit
     return change
 
 
-def replace(t: dict[str, DataFrame], text: str, replacement: str, signlist: dict[str, DataFrame]) -> DataFrame:
-    """Packed rows, with logs, of the transliterations in which the pattern occurs: all its matches replaced, or none if any can't be."""
+def replace(t: dict[str, DataFrame], text: str, replacement: str, signlist: dict[str, DataFrame], texts: DataFrame | None = None, aliases: bool = True, **chosen: list) -> DataFrame:
+    """Packed rows, with logs, of the transliterations in which the pattern occurs: all its matches replaced, or none if any can't be or two overlap.
+
+    With texts (transliteration_id and columns of its text) and chosen values of such columns, only in these transliterations.
+    """
     pattern = read_pattern(replacement, signlist)
-    found = search(relation(t, signlist["composed"]), text, signlist)
+    found = search(relation(t, signlist["composed"]), text, signlist, aliases=aliases)
+    if any(chosen.values()):
+        found = plan.filtered(found, texts, [KEY], **chosen).select(*found.columns)
     found = found.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("signs", F.array_sort(F.map_entries("captures")).alias("captures")))).alias("matches"))
 
     def make(old: editing.Text, row: dict) -> editing.Text:
@@ -197,6 +212,16 @@ def replace(t: dict[str, DataFrame], text: str, replacement: str, signlist: dict
     return editing.change(editing.pack(t), found.join(_with_glyphs(t, signlist["composed"]), KEY), _apply(make))
 
 
+def replace_in(t: dict[str, DataFrame], logs: dict[str, DataFrame], text: str, replacement: str, signlist: dict[str, DataFrame], user_id: int | None = None, internal: bool = False, time=None, texts: DataFrame | None = None, **chosen: list) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Tables and logs (edits, edit_log) after `replace`, one edit for each changed transliteration. Each of them is changed whole or not at all."""
+    return history.commit(t, logs, replace(t, text, replacement, signlist, texts, **chosen), user_id, internal, time)
+
+
+def respell_in(t: dict[str, DataFrame], logs: dict[str, DataFrame], links: DataFrame, code: str, signlist: dict[str, DataFrame], user_id: int | None = None, internal: bool = False, time=None) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Tables and logs after `respell`, one edit for each changed transliteration."""
+    return history.commit(t, logs, respell(t, links, code, signlist), user_id, internal, time)
+
+
 def respell(t: dict[str, DataFrame], links: DataFrame, code: str, signlist: dict[str, DataFrame]) -> DataFrame:
     """Packed rows, with logs, of the transliterations of links (transliteration_id, compound_no): each linked compound written like a name."""
     pattern = read_pattern(code, signlist)

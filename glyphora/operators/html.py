@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphora.functions import signtree
+from glyphora.operators import serialize
 from glyphora.operators.serialize import FIELDS, _bracket, _pick, joined
 from glyphora.operators.signlist import Tables
 
@@ -18,12 +19,18 @@ PLACEHOLDERS = {"number": "N", "description": "DESC", "punctuation": "|", "damag
 SPACES = [("||", "hspace"), ("=", "vspace"), ("|", "hline"), ("–", "vline")]
 
 
-def _classes(s: Column, condition: Column) -> list[tuple[int, Column]]:
+def _extra_weights(extra: tuple[str, ...]) -> list[int]:
+    """Weights of extra attributes, outside all others, the first outermost."""
+    return [2 * WEIGHTS["language"] << (len(extra) - 1 - k) for k in range(len(extra))]
+
+
+def _classes(s: Column, condition: Column, extra: tuple[str, ...]) -> list[tuple[int, Column]]:
     """(weight, class or null) of each span, outermost first."""
     none = F.lit(None).cast("string")
     language = F.when(s["language"].isNotNull(), F.when(s["language"].isin(*LANGUAGES), s["language"]).otherwise("otherlanguage"))
     kind = F.when(s["type"].isin(*TYPES), _pick(s["type"], TYPES))
     return [
+        *((w, F.concat(F.lit(f"extra{k}-"), s[c].cast("string"))) for k, (w, c) in enumerate(zip(_extra_weights(extra), extra, strict=True))),
         (WEIGHTS["language"], language),
         (WEIGHTS["stem"], F.when(s["stem"], "stem")),
         (WEIGHTS["highlight"], F.when(s["highlight"], "highlight")),
@@ -34,11 +41,12 @@ def _classes(s: Column, condition: Column) -> list[tuple[int, Column]]:
     ]
 
 
-def _change(a: Column, b: Column, a_end: Column, b_start: Column) -> Column:
+def _change(a: Column, b: Column, a_end: Column, b_start: Column, extra: tuple[str, ...]) -> Column:
     """Weight of the outermost attribute that differs; above all where a line ends or a text begins or ends."""
     differs = lambda c: ~a[c].eqNullSafe(b[c])
     word = a["word_no"] != b["word_no"]
     cases = [
+        *((differs(c), w) for w, c in zip(_extra_weights(extra), extra, strict=True)),
         (differs("language"), 128),
         (differs("pn_type") | word, 64),
         (differs("stem") | (F.coalesce(a["stem"], F.lit(False)) & word), 32),
@@ -51,17 +59,17 @@ def _change(a: Column, b: Column, a_end: Column, b_start: Column) -> Column:
     out = F.lit(0)
     for test, weight in reversed(cases):
         out = F.when(test, weight).otherwise(out)
-    return F.when(a.isNull() | b.isNull() | (a["line_no"] != b["line_no"]), 1_000_000).otherwise(out)
+    return F.when(a.isNull() | b.isNull() | (a["line_no"] != b["line_no"]), 1 << 30).otherwise(out)
 
 
-def _fragment(x: Column) -> Column:
+def _fragment(x: Column, extra: tuple[str, ...]) -> Column:
     p, s, n = x["_p"], x["_s"], x["_n"]
     first, last = p.isNull(), n.isNull()
     blank = F.lit("")
     mark = lambda kind, c: F.when(c != "intact", F.concat(F.lit(f"<span class='{kind}-"), c, F.lit("'></span>"))).otherwise(blank)
-    before, after = _change(p, s, x["_p_end"], x["_start"]), _change(s, n, x["_end"], x["_n_start"])
-    opened = [F.when((before >= w) & c.isNotNull(), F.concat(F.lit("<span class='"), c, F.lit("'>"))).otherwise(blank) for w, c in _classes(s, x["_start"])]
-    closed = [F.when((after >= w) & c.isNotNull(), F.lit("</span>")).otherwise(blank) for w, c in reversed(_classes(s, x["_end"]))]
+    before, after = _change(p, s, x["_p_end"], x["_start"], extra), _change(s, n, x["_end"], x["_n_start"], extra)
+    opened = [F.when((before >= w) & c.isNotNull(), F.concat(F.lit("<span class='"), c, F.lit("'>"))).otherwise(blank) for w, c in _classes(s, x["_start"], extra)]
+    closed = [F.when((after >= w) & c.isNotNull(), F.lit("</span>")).otherwise(blank) for w, c in reversed(_classes(s, x["_end"], extra))]
     value = F.coalesce(x["value"], blank)
     capital = F.concat(F.upper(F.substring(value, 1, 1)), F.substring(value, 2, 1_000_000))
     text = F.when(F.coalesce(x["_capital"], F.lit(False)), capital).otherwise(value)
@@ -108,18 +116,22 @@ def _connector(s: Column, n: Column) -> Column:
     )
 
 
-def lines(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line_no, line: HTML of each line. rows as for the code serializer, with highlight boolean if signs are to be highlighted."""
+def lines(rows: DataFrame, keys: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+    """keys, line_no, line: HTML of each line. rows as for the code serializer, with highlight boolean if signs are to be highlighted.
+
+    extra: integer columns of rows; a run of signs with one value v of the k-th of them is in a span of class extra<k>-<v>, the first outermost. A change of one
+    ends all spans within it.
+    """
     if "highlight" not in rows.columns:
         rows = rows.withColumn("highlight", F.lit(False))
     own = Window.partitionBy(*keys).orderBy("sign_no")
     start, end = _bracket(F.col("value"), F.col("condition"))
     plain = F.col("indicator_type") == "none"
     earlier = F.max(plain.cast("int")).over(Window.partitionBy(*keys, "word_no").orderBy("sign_no").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumns({"_s": F.struct(*FIELDS, "highlight"), "_start": start, "_end": end, "_capital": F.col("capitalized") & plain & (F.coalesce(earlier, F.lit(0)) == 0)})
+    rows = rows.withColumns({"_s": F.struct(*FIELDS, "highlight", *extra), "_start": start, "_end": end, "_capital": F.col("capitalized") & plain & (F.coalesce(earlier, F.lit(0)) == 0)})
     rows = rows.withColumns({"_p": F.lag("_s").over(own), "_p_end": F.lag("_end").over(own), "_n": F.lead("_s").over(own), "_n_start": F.lead("_start").over(own)})
     parts = ["_p", "_p_end", "_s", "_start", "_end", "_n", "_n_start", "_capital", "value", "crits", "comment"]
-    text = F.get(F.transform(F.array(F.struct(*parts)), _fragment), F.lit(0))
+    text = F.get(F.transform(F.array(F.struct(*parts)), lambda x: _fragment(x, extra)), F.lit(0))
     return joined(rows.select(*keys, "line_no", "sign_no", text.alias("t")), [*keys, "line_no"], "sign_no", F.col("t"), "", "line")
 
 
@@ -149,3 +161,23 @@ def characters(t: Tables, composed: DataFrame) -> DataFrame:
     bare = shown.join(plain, "sign_id", "left")
     bare = bare.select("sign_variant_id", F.lit(None).cast("int").alias("value_id"), F.when(kind == "default", F.col("plain")).when(F.col("specific"), unknown(F.col("c"))).otherwise(F.concat("plain", spec)).alias("print"))
     return read.unionByName(bare)
+
+
+def corpus_html(t: Tables, shown: DataFrame) -> DataFrame:
+    """Sign rows of a corpus as `lines` takes them; shown: `characters`. What isn't encoded is printed as a number or a sign; punctuation and descriptions are not."""
+    rows = serialize.corpus_code(t, shown)  # its value: print, or what is written
+    kind = F.col("type")
+    written = F.when(kind == "number", signtree.number_html_column(F.col("custom_value"))).when(~kind.isin("punctuation", "description"), signtree.html_column(F.col("custom_value")))
+    return rows.withColumn("value", F.coalesce("print", written))
+
+
+def corpus_html_clean(t: Tables, shown: DataFrame) -> DataFrame:
+    """transliteration_id, value, sign_no, word_no, compound_no, type, indicator_type, phonographic, stem, language: signs without editorial marks; what isn't encoded
+    is a placeholder of its type."""
+    rows = serialize.corpus_code(t, shown).withColumn("value", F.coalesce("print", placeholder(F.col("type"))))
+    return rows.select("transliteration_id", "value", "sign_no", "word_no", "compound_no", "type", "indicator_type", "phonographic", "stem", "language")
+
+
+def in_range(rows: DataFrame, keys: list[str], low: Column, high: Column) -> DataFrame:
+    """keys, line_no, line of the signs from low to high alone."""
+    return lines(rows.where(F.col("sign_no").between(low, high)), keys)

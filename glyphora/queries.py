@@ -438,6 +438,15 @@ def _signlist(spark, sf_dir):
     return t, materialized(signlist.composition(t), "composition")
 
 
+def _dictionary(spark, sf_dir):
+    """The sign list of part names with all that is computed from it, each written once."""
+    from glyphora.operators import encoder, signlist
+
+    t, composed = _signlist(spark, sf_dir)
+    made = {"sign_map": signlist.sign_map(t), "values_encoded": encoder.values_encoded(t, composed), "signs_encoded": encoder.signs_encoded(composed), "characters": signlist.characters(t, composed)}
+    return t | {"composed": composed} | {name: materialized(df, name) for name, df in made.items()}
+
+
 @query(f"WITH {B6} SELECT sign_id, m AS allomorph_id, array_to_string(ids, ',') AS allograph_ids, variant_type, s AS specific FROM b6v")
 def variant_enumeration(spark, sf_dir):
     from glyphora.operators import signlist
@@ -479,13 +488,13 @@ def sign_map_union(spark, sf_dir):
 @query(f"""WITH {B6}, r AS (SELECT p_partkey AS tid, replace(p_name, ' ', '') || '1' AS value, CASE WHEN p_size % 2 = 0 THEN upper(replace(p_name, ' ', '2.')) END AS sign_spec FROM part)
 SELECT tid, value_id, sign_variant_id FROM r JOIN ve ON r.value = ve.value AND r.sign_spec IS NOT DISTINCT FROM ve.sign_spec""")
 def encoder_null_safe(spark, sf_dir):
-    from glyphora.operators import encoder, signlist
+    from glyphora.operators import encoder
 
-    t, composed = _signlist(spark, sf_dir)
+    t = _dictionary(spark, sf_dir)
     name = F.col("p_name")
     spec = F.when(F.col("p_size") % 2 == 0, F.upper(F.regexp_replace(name, " ", "2.")))
     rows = bind.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tid"), F.concat(F.regexp_replace(name, " ", ""), F.lit("1")).alias("value"), spec.alias("sign_spec"), F.lit("value").alias("type"))
-    found = encoder.encode(rows, ["tid"], signlist.sign_map(t), encoder.values_encoded(t, composed), encoder.signs_encoded(composed))
+    found = encoder.encode(rows, ["tid"], t["sign_map"], t["values_encoded"], t["signs_encoded"])
     return found.select("tid", "value_id", "sign_variant_id")
 
 
@@ -573,7 +582,19 @@ def levenshtein_cost(spark, sf_dir):
     return rows.select("tid", F.levenshtein("old", "s").cast("bigint").alias("cost"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {B2}, s AS (SELECT tid, list(grapheme ORDER BY sign_no) AS s FROM b2 GROUP BY tid),
+p AS (SELECT *, lag(s) OVER (PARTITION BY text_id ORDER BY tid) AS old FROM s JOIN (SELECT o_orderkey AS tid, o_custkey AS text_id FROM orders) USING (tid)),
+q AS (SELECT tid, old, s, len(old) AS m, len(s) AS n FROM p WHERE old IS NOT NULL),
+d AS (
+  SELECT tid, 0 AS i, range(0, n + 1) AS r, old, s, m, n FROM q UNION ALL
+  SELECT tid, i + 1, [list_min([CASE WHEN k = 0 THEN i + 1 ELSE least(r[k] + (s[k] <> old[i + 1])::INT, r[k + 1] + 1) END + j - k FOR k IN range(0, j + 1)]) FOR j IN range(0, n + 1)], old, s, m, n FROM d WHERE i < m
+), g AS (SELECT tid, list(r ORDER BY i) AS c, any_value(old) AS old, any_value(s) AS s, any_value(m) AS m, any_value(n) AS n FROM d GROUP BY tid),
+t AS (
+  SELECT tid, m AS i, n AS j, []::VARCHAR[] AS ops, c, old, s FROM g UNION ALL
+  SELECT tid, CASE w WHEN 2 THEN i ELSE i - 1 END, CASE w WHEN 1 THEN j ELSE j - 1 END,
+    CASE WHEN w = 0 AND old[i] = s[j] THEN ops WHEN w = 0 THEN list_prepend('UPDATE ' || (j - 1) || ' ' || s[j], ops) WHEN w = 1 THEN list_prepend('DELETE ' || j, ops) ELSE list_prepend('INSERT ' || (j - 1) || ' ' || s[j], ops) END, c, old, s
+  FROM (SELECT *, CASE WHEN i > 0 AND j > 0 AND c[i + 1][j + 1] = c[i][j] + (old[i] <> s[j])::INT THEN 0 WHEN i > 0 AND c[i + 1][j + 1] = c[i][j + 1] + 1 THEN 1 ELSE 2 END AS w FROM t WHERE i > 0 OR j > 0)
+) SELECT t.tid, c[len(old) + 1][len(s) + 1]::INTEGER AS cost, array_to_string(ops, ';') AS script FROM t WHERE i = 0 AND j = 0""")
 def edit_script(spark, sf_dir):
     """Script that turns the part types of a customer's order into those of the next."""
     from glyphora.operators.editing import levenshtein
@@ -654,31 +675,15 @@ SELECT tid, count(*)::INTEGER AS n, string_agg(sign_no, ',' ORDER BY sign_no) AS
 def pn_alignment(spark, sf_dir):
     """Orders whose parts are written as signs (a word each, as runs of flags don't keep to compounds), with each compound that the first part's name
     begins written like that name: which signs have changed."""
-    from glyphora.operators import corpus_search, editing, encoder, signlist
-
-    t, composed = _signlist(spark, sf_dir)
-    t |= {"composed": composed, "sign_map": signlist.sign_map(t), "values_encoded": encoder.values_encoded(t, composed), "signs_encoded": encoder.signs_encoded(composed)}
-    part = bind.table(spark, sf_dir, "part")
-    first = part.agg(F.min_by("p_name", "p_partkey")).first()[0]
-    spelled = part.select(F.col("p_partkey").alias("value_id"), F.min(F.col("p_partkey").cast("int")).over(Window.partitionBy("p_name")).alias("sign_id"), (F.col("p_name") == F.lit(first)).alias("linked"))
-    signs = bind.order_signs(spark, sf_dir).join(spelled, "value_id").join(composed.where("specific").select("sign_id", "sign_variant_id"), "sign_id")
-    signs = signs.withColumn("stem", F.col("sign_no") == F.min("sign_no").over(Window.partitionBy("tid", "compound_no")))
-    none, no, own = lambda k: F.lit(None).cast(k), F.lit(False), F.col("tid").cast("int").alias(corpus_search.KEY)
-    each = lambda *c: signs.select(own, *c).distinct()
-    tables = {
-        "sections": each(F.lit(0).alias("section_no"), none("string").alias("section_name"), none("int").alias("composition_id")).limit(0),
-        "compounds": each("compound_no", none("string").alias("pn_type"), none("string").alias("language"), none("int").alias("section_no"), none("string").alias("compound_comment")),
-        "words": each(F.col("sign_no").alias("word_no"), "compound_no", no.alias("capitalized")),
-        "surfaces": each(F.lit(0).alias("surface_no"), F.lit("surface").alias("surface_type"), none("string").alias("surface_data"), none("string").alias("surface_comment")),
-        "blocks": each(F.lit(0).alias("block_no"), F.lit(0).alias("surface_no"), F.lit("block").alias("block_type"), none("string").alias("block_data"), none("string").alias("block_comment")),
-        "lines": each("line_no", F.lit(0).alias("block_no"), F.col("line_no").cast("string").alias("line"), none("string").alias("line_comment")),
-        "corpus": signs.select(
-            own, "sign_no", "line_no", F.col("sign_no").alias("word_no"), none("int").alias("value_id"), "sign_variant_id", none("string").alias("custom_value"), F.lit("sign").alias("type"), F.lit("none").alias("indicator_type"), none("boolean").alias("phonographic"),
-            "stem", F.lit("intact").alias("condition"), none("string").alias("crits"), none("string").alias("comment"), no.alias("newline"), no.alias("inverted"), no.alias("ligature"),
-        ),
-    }
-    links = signs.where("linked and stem").select(own, "compound_no")
-    out = corpus_search.respell(tables, links, f"{first.replace(' ', '')}1", t)
+    from glyphora.operators import corpus_search
+
+    t = _dictionary(spark, sf_dir)
+    first = bind.table(spark, sf_dir, "part").agg(F.min_by("p_name", "p_partkey")).first()[0]
+    signs = bind.sign_rows(spark, sf_dir, t["composed"])
+    begins = F.col("sign_no") == F.min("sign_no").over(Window.partitionBy(bind.KEY, "compound_no"))
+    links = signs.withColumn("begins", begins).where(F.col("begins") & (F.col("p_name") == F.lit(first))).select(bind.KEY, "compound_no")
+    plain = signs.withColumns({"stem": begins, "sign_variant_id": F.col("plain_variant_id"), "value_id": F.lit(None).cast("int"), "type": F.lit("sign"), "indicator_type": F.lit("none"), "phonographic": F.lit(None).cast("boolean"), "custom_value": F.lit(None).cast("string")})
+    out = corpus_search.respell(bind.sign_tables(plain), links, f"{first.replace(' ', '')}1", t)
     written = F.filter(F.transform("corpus", lambda r, i: F.when(r["value_id"].isNotNull(), i)), lambda i: i.isNotNull())
     return out.select(F.col(corpus_search.KEY).cast("bigint").alias("tid"), F.size(written).alias("n"), F.array_join(written, ",").alias("written"))
 
@@ -746,3 +751,6 @@ def signlist_listing(spark, sf_dir):
     from glyphora.operators import signlist
 
     return signlist.signlist(*_signlist(spark, sf_dir)).drop("unicode")
+
+
+from glyphora import sign_queries  # noqa: E402, F401  registers the rest

@@ -104,9 +104,6 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("tid"), F.col("turn").alias("line_no"), "role", "text", F.sum("t").over(own).cast("int").alias("block_no"))
 
 
-__all__ = ["ORDER", "document_tokens", "event_log", "order_signs", "order_texts", "places", "table", "turns", "with_positions"]
-
-
 def part_signlist(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """A sign list of part names: a name is a sign, its words are graphemes with two or three glyphs each; it may also be spelled backwards."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("id"), "p_name")
@@ -132,3 +129,44 @@ def part_signlist(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "value_variants": reading.select((F.col("sign_id") * 10 + F.col("x.no")).alias("value_variant_id"), F.col("sign_id").alias("value_id"), F.col("x.v").alias("value")),
         "glyph_values": graph.where("variant_type = 'nondefault'").limit(0).select(F.col("glyph").alias("value"), F.col("allograph_id").alias("value_id"), F.array("allograph_id").alias("glyph_ids")),
     }
+
+
+KEY = "transliteration_id"
+
+
+def sign_rows(spark: SparkSession, sf_dir: str, composed: DataFrame) -> DataFrame:
+    """Order lines as signs of the sign list of part names: transliteration_id, sign_no, compound_no, line_no, p_name, sign_id, plain_variant_id (the plainest variant), sign_variant_id, value_id,
+    custom_value, type, indicator_type, phonographic, stem.
+
+    Returned parts have no reading, parts of size 1 are numbers; sizes that end in 3 are determinatives, in 4 phonetic complements.
+    """
+    part = table(spark, sf_dir, "part")
+    known = part.select(F.col("p_partkey").alias("value_id"), "p_name", "p_size", F.min(F.col("p_partkey").cast("int")).over(Window.partitionBy("p_name")).alias("sign_id"))
+    rows = order_signs(spark, sf_dir).join(known, "value_id").join(composed.where("specific").select("sign_id", "sign_variant_id"), "sign_id")
+    size, last = F.col("p_size"), F.col("p_size") % 10
+    number = size == 1
+    return rows.select(
+        F.col("tid").cast("int").alias(KEY), "sign_no", "compound_no", "line_no", "p_name", "sign_id", F.col("sign_variant_id").alias("plain_variant_id"),
+        F.when(~number, F.col("sign_variant_id")).alias("sign_variant_id"), F.when(~number & (F.col("flag") != "R"), F.col("sign_id")).alias("value_id"), F.when(number, F.col("p_name")).alias("custom_value"),
+        F.when(number, "number").when(F.col("flag") != "R", "value").otherwise("sign").alias("type"),
+        F.when(last == 3, "left").when(last == 4, "right").otherwise("none").alias("indicator_type"), F.when(last == 3, False).when(last == 4, True).alias("phonographic"),
+        F.when(F.col("status") == "F", True).alias("stem"),
+    )
+
+
+def sign_tables(signs: DataFrame) -> dict[str, DataFrame]:
+    """The seven tables of a corpus of such signs; each sign is a word."""
+    none, no = lambda k: F.lit(None).cast(k), F.lit(False)
+    each = lambda *c: signs.select(KEY, *c).distinct()
+    return {
+        "sections": signs.select(KEY, F.lit(0).alias("section_no"), none("string").alias("section_name"), none("int").alias("composition_id")).limit(0),
+        "compounds": each("compound_no", none("string").alias("pn_type"), none("string").alias("language"), none("int").alias("section_no"), none("string").alias("compound_comment")),
+        "words": each(F.col("sign_no").alias("word_no"), "compound_no", no.alias("capitalized")),
+        "surfaces": each(F.lit(0).alias("surface_no"), F.lit("surface").alias("surface_type"), none("string").alias("surface_data"), none("string").alias("surface_comment")),
+        "blocks": each(F.lit(0).alias("block_no"), F.lit(0).alias("surface_no"), F.lit("block").alias("block_type"), none("string").alias("block_data"), none("string").alias("block_comment")),
+        "lines": each("line_no", F.lit(0).alias("block_no"), F.col("line_no").cast("string").alias("line"), none("string").alias("line_comment")),
+        "corpus": signs.select(
+            KEY, "sign_no", "line_no", F.col("sign_no").alias("word_no"), "value_id", "sign_variant_id", "custom_value", "type", "indicator_type", "phonographic",
+            "stem", F.lit("intact").alias("condition"), none("string").alias("crits"), none("string").alias("comment"), no.alias("newline"), no.alias("inverted"), no.alias("ligature"),
+        ),
+    }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -21,16 +21,30 @@ GROUPS = {
 
 
 def read_csv(spark: SparkSession, path: str, kind: StructType) -> DataFrame:
-    r"""A headerless CSV with \N for null. Arrays are JSON text in the file, ranges `[lo,hi)` text."""
+    r"""A headerless CSV with \N for null. Ranges are `[lo,hi)` text; arrays JSON text, or as a database writes them: `{1,2}`, and with rows, `{"(0,7,,t)","(1,8,,f)"}`."""
     flat = StructType.fromDDL(", ".join(f"`{f.name}` {'string' if isinstance(f.dataType, ArrayType | StructType) else f.dataType.simpleString()}" for f in kind.fields))
     rows = spark.read.csv(path, schema=flat, nullValue="\\N", header=False, escape='"')
     return rows.select(*[_parsed(f).alias(f.name) for f in kind.fields])
 
 
+def composite_array(c: Column, kind: ArrayType) -> Column:
+    """An array as a database writes it, `{1,NULL}`, or of rows, `{"(0,7,,\\"left\\",t)"}`: fields in their order, nothing for null, t and f for booleans."""
+    inner = F.regexp_extract(c, r"^\s*\{(.*)\}\s*$", 1)
+    if not isinstance(kind.elementType, StructType):
+        items = F.filter(F.split(inner, ","), lambda x: x != "")
+        return F.transform(items, lambda x: F.when(F.upper(F.trim(x)) != "NULL", F.trim(x, F.lit('"'))).cast(kind.elementType))
+
+    def field(x: Column, f) -> Column:
+        return F.when(x != "", x == "t").cast("boolean") if f.dataType.simpleString() == "boolean" else F.when(x != "", x).cast(f.dataType)
+
+    rows = F.regexp_extract_all(F.regexp_replace(inner, r'[\\"]', ""), F.lit(r"\(([^()]*)\)"), 1)
+    return F.transform(rows, lambda r: F.struct(*[field(F.get(F.split(r, ",", -1), F.lit(k)), f).alias(f.name) for k, f in enumerate(kind.elementType.fields)]))
+
+
 def _parsed(field):
     c = F.col(field.name)
     if isinstance(field.dataType, ArrayType):
-        return F.from_json(c, field.dataType)
+        return F.when(c.startswith("{"), composite_array(c, field.dataType)).otherwise(F.from_json(c, field.dataType))
     if isinstance(field.dataType, StructType):
         lo, hi = (F.regexp_extract(c, r"(-?\d+)\s*,\s*(-?\d+)", k).try_cast("int") for k in (1, 2))
         lo, hi = F.when(c.startswith("("), lo + 1).otherwise(lo), F.when(c.endswith(")"), hi - 1).otherwise(hi)
