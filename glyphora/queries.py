@@ -41,7 +41,7 @@ B2 = """b2r AS (
   FROM b2r JOIN part ON l_partkey = p_partkey WINDOW o AS (PARTITION BY l_orderkey ORDER BY sign_no)
 )"""
 B2T = """b2t AS (
-  SELECT o_orderkey AS tid, o_custkey AS text_id, o_orderpriority AS period, o_orderstatus AS genre, n_name AS provenience
+  SELECT o_orderkey AS tid, o_custkey AS text_id, o_orderpriority AS period, o_orderstatus AS genre, n_name AS provenience, c_mktsegment AS object
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
 )"""
 B3 = """b3 AS (
@@ -123,10 +123,10 @@ def transliteration_count(spark, sf_dir):
     return stats.transliterations_per_text(bind.order_texts(spark, sf_dir))
 
 
-def _presence_sql(item: str) -> str:
-    return f"""WITH {B2}, {B2T}, n AS (SELECT text_id, {item}, count(*) AS c FROM b2 JOIN b2t USING (tid) GROUP BY ALL),
-    t AS (SELECT text_id, count(*) AS times, min(period) AS period, min(provenience) AS provenience, min(genre) AS genre FROM b2t GROUP BY ALL)
-    SELECT {item}, period, provenience, genre, sum(c)::BIGINT AS count, round(sum(c / times), 6) AS count_norm FROM n JOIN t USING (text_id) GROUP BY ALL"""
+def _presence_sql(item: str, kept: str = "true") -> str:
+    return f"""WITH {B2}, {B2T}, n AS (SELECT text_id, {item}, count(*) AS c FROM b2 JOIN b2t USING (tid) WHERE {kept} GROUP BY ALL),
+    t AS (SELECT text_id, count(*) AS times, min(period) AS period, min(provenience) AS provenience, min(genre) AS genre, min(object) AS object FROM b2t GROUP BY ALL)
+    SELECT {item}, period, provenience, genre, object, sum(c)::BIGINT AS count, round(sum(c / times), 6) AS count_norm FROM n JOIN t USING (text_id) GROUP BY ALL"""
 
 
 @query(_presence_sql("grapheme"))
@@ -144,6 +144,15 @@ def search_three_chain(spark, sf_dir):
     return _find(spark, sf_dir, "of the that").select("tid", F.get("signs", F.lit(0)).alias("first"))
 
 
+@query(_presence_sql("grapheme", "NOT (tid % 7 = 0 AND flag = 'R')"))
+def presence_update(spark, sf_dir):
+    """The presence cube after every seventh order has lost its returned parts, from the cube before and these orders alone."""
+    signs, texts = bind.order_signs(spark, sf_dir), bind.order_texts(spark, sf_dir)
+    kept = materialized(stats.presence(signs, texts, "grapheme", places=None), "presence")
+    before = signs.where("tid % 7 = 0")
+    return stats.presence_after(kept, before, before.where("flag <> 'R'"), texts, "grapheme").withColumn("count_norm", F.round("count_norm", 6))
+
+
 @query(f"""WITH {B1} SELECT a.tid, count(*) AS matches FROM b1 a JOIN b1 b ON a.tid = b.tid AND a.sign_no < b.sign_no AND a.line_no = b.line_no
 WHERE a.value = 'the' AND b.value = 'of' GROUP BY a.tid""")
 def search_ellipsis_same_line(spark, sf_dir):
@@ -663,11 +672,11 @@ def pn_prefix_match(spark, sf_dir):
 
     signs = bind.order_signs(spark, sf_dir)
     compounds = signs.groupBy("tid", "compound_no").agg(F.min("status").alias("kind"), ordered(F.col("grapheme"), F.col("sign_no")).alias("elements"))
-    kinds = [r.a for r in bind.table(spark, sf_dir, "part").select(F.col("p_type").alias("a")).distinct().collect()]  # the few part types
-    spelled = [(a, [a]) for a in kinds] + [(f"{a} {b}", [a, b]) for a in kinds for b in kinds if a < b]
-    status = bind.table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("kind")).distinct()
-    known = status.withColumn("x", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, e)).alias("elements")) for n, e in spelled]))) if spelled else None
-    return names.prefix_matches(compounds, known.select("kind", "x.*"), ["tid", "compound_no"], ["name"])
+    types = bind.table(spark, sf_dir, "part").agg(F.array_sort(F.collect_set("p_type")).alias("t"))  # the few part types
+    pairs = F.flatten(F.transform("t", lambda a: F.transform(F.filter("t", lambda b: a < b), lambda b: F.array(a, b))))
+    spelled = types.select(F.concat(F.transform("t", lambda a: F.array(a)), pairs)).scalar()
+    known = bind.table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("kind")).distinct().withColumn("elements", F.explode(spelled))
+    return names.prefix_matches(compounds, known.withColumn("name", F.array_join("elements", " ")), ["tid", "compound_no"], ["name"])
 
 
 @query(f"""WITH {B2}, f AS (SELECT min_by(p_name, p_partkey) AS name FROM part), c AS (SELECT tid, min(sign_no) AS sign_no FROM b2 GROUP BY tid, compound_no)

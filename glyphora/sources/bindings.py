@@ -64,11 +64,12 @@ def order_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tid, text_id, period, genre, provenience of orders."""
+    """tid, text_id, period, genre, provenience, object of orders."""
     orders, customer, nation = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
     rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return rows.select(
-        F.col("o_orderkey").alias("tid"), F.col("o_custkey").alias("text_id"), F.col("o_orderpriority").alias("period"), F.col("o_orderstatus").alias("genre"), F.col("n_name").alias("provenience")
+        F.col("o_orderkey").alias("tid"), F.col("o_custkey").alias("text_id"), F.col("o_orderpriority").alias("period"), F.col("o_orderstatus").alias("genre"), F.col("n_name").alias("provenience"),
+        F.col("c_mktsegment").alias("object"),
     )
 
 
