@@ -35,6 +35,7 @@ def test_edits_are_reverted(spark, signlist):
 def test_search_and_what_it_found(spark, signlist):
     t = load(spark, signlist, [(1, "1\t[a]-si e--ni!\n2\t{d}diri{ki} <a>pa"), (2, "1\tsi a")])
     rows = corpus_search.relation(t, signlist["composed"])
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
     find = lambda text: corpus_search.search(rows, text, signlist)
     got = lambda text: sorted((r.transliteration_id, tuple(r.signs)) for r in find(text).collect())
     assert got("si") == [(1, (1,)), (2, (0,))] and got("SI") == [(1, (1,)), (1, (5,)), (2, (0,))]
