@@ -159,7 +159,8 @@ def descend(row: Callable[[int], tuple[np.ndarray, np.ndarray]], y: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, passes: int = PASSES) -> Model:
     """Log-count ratios over all training rows, hinge loss by dual coordinate descent over at most fit_rows.
 
-    With no training row of one class, every score is 1 if class 1 is there, 0.5 if none is, else 0.
+    With no training row of one class, every score is 1 if class 1 is there, 0.5 if none is, else 0. A text of any length is read whole and counts as one row, of SIZE
+    features at most.
     """
     rows = labelled(docs, labels)
     count = class_counts(rows).astype(np.float64)

@@ -197,7 +197,8 @@ def packed_rows(docs: DataFrame, path: str, pattern: str | None, end_id: int, ca
     cu_seqlens: cumulative segment lengths, from 0; ids and position_ids: little-endian unsigned 16-bit
     (32-bit if an id needs it), positions starting again from 0 in each segment. doc_ids may hold nulls.
     A task reads lots of about `lot` ids; the OPEN roomiest rows of a lot take part in the next, so memory holds
-    one lot and those. Empty input gives no rows; repeated rows are packed as often as they are given.
+    one lot and those, and one text with its ids, whatever its length (an unbroken word of megabytes is one unit of the tokenizer). Empty input gives no rows;
+    repeated rows are packed as often as they are given.
     """
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 

@@ -179,10 +179,14 @@ def _search(k: int, pivots: dict[int, Pivots], seen: Accumulator | None):
                 qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
                 q, x = (np.frombuffer(b, np.float64).reshape(n, dim) for b, n in ((qv, len(qids)), (x, len(ids))))
                 a, b = p.table(q, query=True), np.frombuffer(places, np.float32).reshape(len(ids), -1).astype(np.float64)
-                bounds = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0.0)) - SLACK * np.sqrt(p.top)
-                bounds = np.where(np.isfinite(bounds), bounds, -np.inf)
+                slack = SLACK * np.sqrt(p.top)
+                off = np.maximum(np.maximum(b.min(axis=0) - a, a - b.max(axis=0)), 0.0)  # of the box that holds the whole block
+                asks = np.flatnonzero(~(np.sqrt((off**2).sum(axis=1)) - slack > limit))
+                bounds = np.sqrt(np.maximum((a[asks] ** 2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a[asks] @ b.T, 0.0)) - slack
+                bounds = dict(zip(asks.tolist(), np.where(np.isfinite(bounds), bounds, -np.inf), strict=True))
                 looked, out = 0, []
-                for i, qid in enumerate(qids.tolist()):
+                for i in bounds:
+                    qid = int(qids[i])
                     near = np.flatnonzero((bounds[i] <= limit[i]) & (ids != qid))
                     near = near[np.argsort(bounds[i][near], kind="stable")]
                     best, at, step = Best(k), 0, 4 * k

@@ -175,7 +175,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) ->
     """pages (page_id, url) -> page_id, host, path, rule, verdict (allow or block), score double (of being blocked), held_out boolean.
 
     Where no rule fits, the verdict is block from a score of 0.5. If rules decide no URL, or all alike, then it is theirs
-    (allow, if none). One row per row; null and malformed URLs have empty host and path. held_out: URLs of its host train nothing, whatever rules say
+    (allow, if none). One row per row, whatever its page_id; null and malformed URLs have empty host and path; long ones are read whole. held_out: URLs of its host train nothing, whatever rules say
     of them; if no others are decided, they train after all.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
