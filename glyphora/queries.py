@@ -447,12 +447,14 @@ def _signlist(spark, sf_dir):
     return t, materialized(signlist.composition(t), "composition")
 
 
-def _dictionary(spark, sf_dir):
-    """The sign list of part names with all that is computed from it, each written once."""
+def _dictionary(spark, sf_dir, printed: bool = True):
+    """The sign list of part names with what is computed from it, each written once; printed: with the characters too."""
     from glyphora.operators import encoder, signlist
 
     t, composed = _signlist(spark, sf_dir)
-    made = {"sign_map": signlist.sign_map(t), "values_encoded": encoder.values_encoded(t, composed), "signs_encoded": encoder.signs_encoded(composed), "characters": signlist.characters(t, composed)}
+    made = {"sign_map": signlist.sign_map(t), "values_encoded": encoder.values_encoded(t, composed), "signs_encoded": encoder.signs_encoded(composed)}
+    if printed:
+        made["characters"] = signlist.characters(t, composed)
     return t | {"composed": composed} | {name: materialized(df, name) for name, df in made.items()}
 
 
@@ -499,7 +501,7 @@ SELECT tid, value_id, sign_variant_id FROM r JOIN ve ON r.value = ve.value AND r
 def encoder_null_safe(spark, sf_dir):
     from glyphora.operators import encoder
 
-    t = _dictionary(spark, sf_dir)
+    t = _dictionary(spark, sf_dir, printed=False)
     name = F.col("p_name")
     spec = F.when(F.col("p_size") % 2 == 0, F.upper(F.regexp_replace(name, " ", "2.")))
     rows = bind.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tid"), F.concat(F.regexp_replace(name, " ", ""), F.lit("1")).alias("value"), spec.alias("sign_spec"), F.lit("value").alias("type"))
@@ -686,7 +688,7 @@ def pn_alignment(spark, sf_dir):
     begins written like that name: which signs have changed."""
     from glyphora.operators import corpus_search
 
-    t = _dictionary(spark, sf_dir)
+    t = _dictionary(spark, sf_dir, printed=False)
     first = bind.table(spark, sf_dir, "part").agg(F.min_by("p_name", "p_partkey")).first()[0]
     signs = bind.sign_rows(spark, sf_dir, t["composed"])
     begins = F.col("sign_no") == F.min("sign_no").over(Window.partitionBy(bind.KEY, "compound_no"))
