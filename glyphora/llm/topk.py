@@ -2,13 +2,14 @@
 
 Vectors become whole numbers; with one component added, sqrt(M^2 - |x|^2) for rows and 0 for queries (M: the largest
 norm), a larger inner product is a smaller Euclidean distance. Pivots are picked from a bounded sample so that each is as far
-as possible from the span of those before. The distances of every row to all pivots are computed once, with the blocks that
-rows are cut into. Of all lower bounds of a distance to the query that two rows of that table give, the largest is used: that of the
-simplex over the pivots, at least as large as any difference |d(q, p) - d(x, p)|. A query looks at the rows of a block in order of
-these bounds and stops when the next bound exceeds the k-th best distance found, which it brings along from the sample and
+as possible from the span of those before. The distances of the rows of a block to all pivots are computed as the block is read. Of all
+lower bounds of a distance to the query that two rows of that table give, the largest is used: that of the
+simplex over the pivots, at least as large as any difference |d(q, p) - d(x, p)|. A query looks at the rows of a block whose bounds do not
+exceed the k-th best distance found, at many such in order of the bounds until one does; it brings that distance along from the sample and
 from block to block. Scores are compared as integers, so the result is exact.
 
-Queries are cut into blocks as well, each pair of blocks is one task row, and nothing is broadcast but the pivots and the sample.
+Rows are dealt to lanes, each of which has a copy of the queries, or of a part of them if they are many. A lane is read in order, queries first: only they are
+held. Lanes are fewer than rows are to a query, so that the copies are no more than the rows, but LANES at least. Nothing is broadcast but the pivots and the sample.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Accumulator
+import pyarrow.compute as pc
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,10 +32,14 @@ K, SCALE, PIVOTS = 10, 1024, 64
 SAMPLE, SAMPLE_BYTES = 4096, 8 << 20
 #: Rows of a block, queries of a block.
 ROWS, QUERIES = 4096, 256
-#: Lanes that row blocks are dealt to at most, each with a copy of the query blocks.
-LANES = 4096
+#: Lanes that rows are dealt to at most, unless the queries are parted; bytes of queries that a lane holds.
+LANES, HELD = 64, 192 << 20
+#: Rows of a block that a query takes as they come; if more may be better, it takes them in order of their bounds.
+FEW = 64
 #: Share of M by which bounds are lowered for rounding, and least height of a pivot over the span of the others.
 SLACK, HEIGHT = 1e-5, 1e-4
+#: What single precision may add to an inner product of table rows by M, a share of M^2: 66 terms, places within 2 M of the first pivot.
+ROUND = 1e-5
 LONG = (1 << 63) - 1
 
 
@@ -142,16 +148,52 @@ def _cut(size: int, make):
     return kernel
 
 
-def _one(names: list[str], *values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) if isinstance(v, int) else pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in values], names)
+def _bytes(x: np.ndarray) -> pa.Array:
+    """Each row's components as bytes, in single precision if that holds all of them."""
+    x = np.ascontiguousarray(x, np.float32 if np.abs(x).max(initial=0.0) < 2.0**24 else np.float64)
+    at = np.arange(len(x) + 1, dtype=np.int64) * (x.shape[1] * x.itemsize)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(x)]).cast(pa.binary())
 
 
-def _row_block(pivots: dict[int, Pivots]):
-    return lambda dim, ids, x: _one(["dim", "ids", "vectors", "places"], dim, ids, x, pivots[dim].table(x).astype(np.float32))
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    """What `_bytes` wrote, as doubles."""
+    out = np.zeros((len(column), dim))
+    if not dim:
+        return out
+    single = np.asarray(pc.equal(pc.binary_length(column), 4 * dim))
+    for kind, own in ((np.float32, single), (np.float64, ~single)):
+        if own.any():
+            out[own] = np.frombuffer(b"".join(column.filter(pa.array(own)).to_pylist()), kind).reshape(-1, dim)
+    return out
+
+
+_DEALT = {"dim": pa.int32(), "lane": pa.int32(), "copies": pa.int32(), "query": pa.bool_(), "vec_id": pa.int64(), "v": pa.binary(), "far": pa.float64()}
+_DDL = "dim int, lane int, copies int, query boolean, vec_id long, v binary, far double"
+
+
+def _dealt(dim: int, lane, copies: int, query: bool, ids: np.ndarray, x: np.ndarray, far) -> pa.RecordBatch:
+    full = lambda c: c if isinstance(c, np.ndarray) else np.full(len(ids), c)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((full(dim), full(lane), full(copies), full(query), ids), list(_DEALT.values())[:5], strict=True)] + [_bytes(x), pa.array(full(far), pa.float64())], list(_DEALT))
+
+
+def _row_lanes(lanes: dict[int, tuple[int, int]]):
+    """Rows in turn to the lanes of their dim, once for each part of its queries. A row's place in its partition says which."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() * 7
+        turn = iter(range(at, 1 << 62))
+        make = lambda dim, ids, x: (dim, ids, x)
+        for dim, ids, x in _cut(ROWS, make)(batches):
+            n, parts = lanes[dim]
+            first = next(turn) * 31
+            for part in range(parts):
+                yield _dealt(dim, (first + np.arange(len(ids))) % n * parts + part, 1, False, ids, x, 0.0)
+
+    return kernel
 
 
-def _query_block(pivots: dict[int, Pivots], k: int):
-    """A block of queries, with the distance beyond which each need not look: from its k best of the sample, whose rows are candidates as any."""
+def _query_lanes(lanes: dict[int, tuple[int, int]], pivots: dict[int, Pivots], k: int):
+    """Queries by part, with the distance beyond which each need not look: from its k best of the sample, whose rows are candidates as any."""
 
     def make(dim: int, ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         p, far = pivots[dim], np.full(len(ids), np.inf)
@@ -162,62 +204,153 @@ def _query_block(pivots: dict[int, Pivots], k: int):
             best.add([int(found[j]) for j in near], p.sample_ids[others][near])
             if best.last() is not None:
                 far[i] = p.far(float((q[i] ** 2).sum()), float(best.last()))
-        return _one(["dim", "qids", "qvectors", "far"], dim, ids, q, far)
+        n, parts = lanes[dim]
+        return _dealt(dim, np.arange(len(ids)) % parts, n, True, ids, q, far)
 
     return make
 
 
-def _search(k: int, pivots: dict[int, Pivots], seen: Accumulator | None):
-    """Kernel: (dim, qids, qvectors, far, ids, vectors, places) -> (query_id, vec_id, score): each query's k best of the block, but none known to be beaten."""
+class _Queries:
+    """A block of a lane's queries: their rows of the pivots' table, the best that each has seen, and how far it looks."""
+
+    def __init__(self, p: Pivots, k: int, ids: np.ndarray, q: np.ndarray, far: np.ndarray):
+        self.p, self.k, self.ids, self.q, self.limit = p, k, ids, q, far
+        self.unit = float(np.sqrt(p.top)) or 1.0
+        self.norms, self.most = (q**2).sum(axis=1), float(np.abs(q).max(initial=0.0)) * max(1, q.shape[1])
+        self.place = p.table(q, query=True) / self.unit
+        self.squares = (self.place**2).sum(axis=1)
+        self.single = np.column_stack([self.place, np.ones(len(q))]).astype(np.float32)
+        self.round = ROUND * (1 + np.sqrt(self.squares))
+        self.best = [Best(k) for _ in range(len(q))]
+
+    def least(self) -> np.ndarray:
+        """Of each query: what its inner product with a row of the table, less half of that row's square, must come to for the row's bound not to exceed the limit."""
+        return (self.squares - (self.limit / self.unit + SLACK) ** 2) / 2 - self.round
+
+    def see(self, i: int, found: list[int] | np.ndarray, ids: np.ndarray) -> None:
+        self.best[i].add(found, ids)
+        if (last := self.best[i].last()) is not None:
+            self.limit[i] = min(self.limit[i], self.p.far(float(self.norms[i]), float(last)))
+
+    def look(self, ids: np.ndarray, x: np.ndarray, table: np.ndarray, box: tuple[np.ndarray, np.ndarray], largest: float) -> int:
+        """Looks at a block of rows; returns how many scores were computed."""
+        off = np.maximum(np.maximum(box[0] - self.place, self.place - box[1]), 0.0)  # of the box that holds the whole block
+        asks = np.flatnonzero(~(np.sqrt((off**2).sum(axis=1)) - SLACK > self.limit / self.unit))
+        if not len(asks):
+            return 0
+        near = self.single[asks] @ table.T
+        least = self.least()
+        at = np.flatnonzero(~(near < least[asks].astype(np.float32)[:, None]).ravel())
+        i, j = asks[at // len(ids)], at % len(ids)
+        own = ids[j] != self.ids[i]
+        at, i, j = at[own], i[own], j[own]
+        looked, ends = 0, np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(self.ids)))])
+        plain = self.most * largest < 2.0**52
+        few = plain and len(i) and (np.diff(ends)[i] <= FEW)
+        exact = np.zeros(len(i), np.int64)
+        if plain and len(i) and few.any():
+            exact[few] = np.einsum("ij,ij->i", x[j[few]], self.q[i[few]]).astype(np.int64)
+        for n in np.unique(i).tolist():
+            a, b = ends[n], ends[n + 1]
+            if plain and b - a <= FEW:
+                self.see(n, exact[a:b], ids[j[a:b]])
+                looked += int(b - a)
+                continue
+            bound, rows = near.ravel()[at[a:b]].astype(np.float64), j[a:b]
+            bound[np.isnan(bound)] = np.inf
+            order = np.argsort(-bound, kind="stable")
+            bound, rows, to, step = bound[order], rows[order], 0, 4 * self.k
+            while to < len(rows) and not bound[to] < self.least()[n]:
+                some = rows[to : to + step]
+                self.see(n, scores(x[some], self.q[n]), ids[some])
+                looked += len(some)
+                to, step = to + step, 2 * step
+        return looked
+
+
+class _Lane:
+    """What a task holds of a lane: its queries, and rows up to a block."""
+
+    def __init__(self, p: Pivots, k: int, rows: int, queries: int, seen: Accumulator | None):
+        self.p, self.k, self.rows, self.queries, self.seen = p, k, rows, queries, seen
+        self.asked: list[tuple] = []
+        self.blocks: list[_Queries] | None = None
+        self.held: list[tuple] = []
+
+    def add(self, query: bool, ids: np.ndarray, x: np.ndarray, far: np.ndarray) -> None:
+        (self.asked if query else self.held).append((ids, x, far))
+        if not query and sum(len(h[0]) for h in self.held) >= self.rows:
+            self.look()
+
+    def look(self) -> None:
+        if self.blocks is None:
+            ids, q, far = (np.concatenate(c) for c in zip(*self.asked, strict=True)) if self.asked else (np.zeros(0),) * 3
+            self.asked = []
+            self.blocks = [_Queries(self.p, self.k, ids[a : a + self.queries], q[a : a + self.queries], far[a : a + self.queries].copy()) for a in range(0, len(ids), self.queries)]
+        if not self.held or not self.blocks:
+            self.held = []
+            return
+        every, xs, _ = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        self.held = []
+        for a in range(0, len(every), self.rows):
+            ids, x = every[a : a + self.rows], xs[a : a + self.rows]
+            place = self.p.table(x) / self.blocks[0].unit
+            table = np.column_stack([place, -(place**2).sum(axis=1) / 2]).astype(np.float32)
+            box, largest = (place.min(axis=0), place.max(axis=0)), float(np.abs(x).max(initial=0.0))
+            looked = sum(b.look(ids, x, table, box, largest) for b in self.blocks)
+            if self.seen is not None:
+                self.seen.add(np.array([looked, sum(len(b.ids) for b in self.blocks) * len(ids)]))
+
+    def results(self) -> Iterator[pa.RecordBatch]:
+        self.look()
+        for b in self.blocks or []:
+            out = [(qid, j, max(-LONG - 1, min(LONG, -s)), -s) for qid, best in zip(b.ids.tolist(), b.best, strict=True) for s, j in best.rows]
+            cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+            wide = [None if s == t else f"{t:+}" for s, t in zip(cols[2], cols[3], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(wide, pa.string())], ["query_id", "vec_id", "score", "wide"])
+
+
+def _search(k: int, pivots: dict[int, Pivots], rows: int, queries: int, seen: Accumulator | None):
+    """Kernel: `_DEALT` by lane, queries first -> (query_id, vec_id, score, wide): each query's k best of the lane, but none known to be beaten."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits: dict[tuple, np.ndarray] = {}  # what this task's blocks have shown
+        now, lane = None, None
         for batch in batches:
-            for dim, qids, qv, far, ids, x, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, block = pivots[dim], (dim, qids)
-                limit = limits.setdefault(block, np.frombuffer(far, np.float64).copy())
-                qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                q, x = (np.frombuffer(b, np.float64).reshape(n, dim) for b, n in ((qv, len(qids)), (x, len(ids))))
-                a, b = p.table(q, query=True), np.frombuffer(places, np.float32).reshape(len(ids), -1).astype(np.float64)
-                slack = SLACK * np.sqrt(p.top)
-                off = np.maximum(np.maximum(b.min(axis=0) - a, a - b.max(axis=0)), 0.0)  # of the box that holds the whole block
-                asks = np.flatnonzero(~(np.sqrt((off**2).sum(axis=1)) - slack > limit))
-                bounds = np.sqrt(np.maximum((a[asks] ** 2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a[asks] @ b.T, 0.0)) - slack
-                bounds = dict(zip(asks.tolist(), np.where(np.isfinite(bounds), bounds, -np.inf), strict=True))
-                looked, out = 0, []
-                for i in bounds:
-                    qid = int(qids[i])
-                    near = np.flatnonzero((bounds[i] <= limit[i]) & (ids != qid))
-                    near = near[np.argsort(bounds[i][near], kind="stable")]
-                    best, at, step = Best(k), 0, 4 * k
-                    while at < len(near) and bounds[i][near[at]] <= limit[i]:
-                        see = near[at : at + step]
-                        best.add(scores(x[see], q[i]), ids[see])
-                        looked += len(see)
-                        if best.last() is not None:
-                            limit[i] = min(limit[i], p.far(float((q[i] ** 2).sum()), float(best.last())))
-                        at, step = at + step, 2 * step
-                    out += [(qid, j, max(-LONG - 1, min(LONG, -s)), -s) for s, j in best.rows]
-                if seen is not None:
-                    seen.add(np.array([looked, len(qids) * len(ids)]))
-                cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-                wide = [None if s == t else f"{t:+}" for s, t in zip(cols[2], cols[3], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(wide, pa.string())], ["query_id", "vec_id", "score", "wide"])
+            dims, lanes, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "lane", "query"))
+            cuts = np.flatnonzero((np.diff(dims) != 0) | (np.diff(lanes) != 0) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(dims)], strict=True):
+                if a == b:
+                    continue
+                if (dims[a], lanes[a]) != now:
+                    if lane is not None:
+                        yield from lane.results()
+                    now, lane = (dims[a], lanes[a]), _Lane(pivots[int(dims[a])], k, rows, queries, seen)
+                own = batch.slice(a, b - a)
+                lane.add(bool(asks[a]), own.column("vec_id").to_numpy(), _vectors(own.column("v"), int(dims[a])), own.column("far").to_numpy())
+        if lane is not None:
+            yield from lane.results()
 
     return kernel
 
 
-def _pivots(rows: DataFrame, most: int) -> dict[int, Pivots]:
-    """Of each dimension, of which there are a handful: pivots from the rows of the least hash, SAMPLE and SAMPLE_BYTES at most."""
+def lanes_of(rows: int, queries: int, dim: int) -> tuple[int, int]:
+    """Lanes that rows are dealt to, and parts that queries are in: a part is HELD bytes at most."""
+    parts = max(1, -(-queries * (18 * dim + 1500) // HELD))
+    return max(1, min(-(-rows // ROWS), max(LANES // parts, min(LANES, rows // max(1, queries))))), parts
+
+
+def _pivots(rows: DataFrame, most: int) -> tuple[dict[int, Pivots], dict[int, int]]:
+    """Of each dimension, of which there are a handful: pivots from the rows of the least hash, SAMPLE and SAMPLE_BYTES at most; and how many rows it has."""
     some = rows.select("vec_id", "v", "dim", F.xxhash64("vec_id", "v").alias("h"))
-    tops = {r.dim: float(r.m) for r in some.groupBy("dim").agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).collect()}
+    all_dims = some.groupBy("dim").agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.count("*").alias("n")).collect()
+    tops = {r.dim: float(r.m) for r in all_dims}
     out = {}
     for dim, top in tops.items():
         n = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * max(1, dim))))
         got = some.where(F.col("dim") == dim).orderBy("h", "vec_id").limit(n).select("vec_id", "v").toArrow()
         x = np.array(got.column(1).to_pylist(), np.float64).reshape(got.num_rows, dim)
         out[dim] = Pivots.pick(got.column(0).to_numpy(), x, top, most if np.isfinite(top) else 1)
-    return out
+    return out, {r.dim: r.n for r in all_dims}
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, seen: Accumulator | None = None) -> DataFrame:
@@ -228,16 +361,18 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS,
     under one id answer as one query. Repeated rows are candidates as often as they are given. No rows: no result. Scores beyond a
     long are ranked as they are and given as the largest or least long. seen, if given, counts the rows whose scores were computed, and all.
     """
-    picked = _pivots(rows, pivots)
+    picked, sizes = _pivots(rows, pivots)
     asked = queries.select("vec_id", "v", "dim").distinct()
-    asked = asked.where(F.col("dim").isin(list(picked)) if picked else F.lit(False))  # no rows of that dimension, no answer
-    blocks = written(rows.select("vec_id", "v", "dim").mapInArrow(_cut(ROWS, _row_block(picked)), "dim int, ids binary, vectors binary, places binary"), "blocks")
-    asked = written(asked.repartition(max(1, -(-asked.count() // 8192))).mapInArrow(_cut(QUERIES, _query_block(picked, k)), "dim int, qids binary, qvectors binary, far binary"), "asked")
-    lanes = min(max(1, blocks.count()), LANES)  # row blocks keep to one lane, query blocks go to all
-    asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    dealt = blocks.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-    pairs = asked.join(dealt, ["dim", "lane"]).select("dim", "qids", "qvectors", "far", "ids", "vectors", "places")
-    found = pairs.mapInArrow(_search(k, picked, seen), "query_id long, vec_id long, score long, wide string")
+    asked = written(asked.where(F.col("dim").isin(list(picked)) if picked else F.lit(False)), "asked")  # no rows of that dimension, no answer
+    counts = {r.dim: r["count"] for r in asked.groupBy("dim").count().collect()}
+    lanes = {dim: lanes_of(n, counts[dim], dim) for dim, n in sizes.items() if dim in counts}
+    rows = rows.select("vec_id", "v", "dim").where(F.col("dim").isin(list(lanes)) if lanes else F.lit(False))
+    asked = asked.repartition(max(1, -(-sum(counts.values()) // 8192))).mapInArrow(_cut(QUERIES, _query_lanes(lanes, picked, k)), _DDL)
+    parts = F.coalesce(*[F.when(F.col("dim") == dim, p) for dim, (_, p) in lanes.items()], F.lit(1))
+    asked = asked.withColumn("_n", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("lane", (F.col("_n") * parts + F.col("lane")).cast("int")).drop("_n")
+    dealt = asked.unionByName(rows.mapInArrow(_row_lanes(lanes), _DDL))
+    dealt = dealt.repartition(max(1, 2 * sum(n * p for n, p in lanes.values())), "dim", "lane").sortWithinPartitions("dim", "lane", F.desc("query"))
+    found = dealt.mapInArrow(_search(k, picked, ROWS, QUERIES, seen), "query_id long, vec_id long, score long, wide string")
     # a score beyond a long: by sign, then by number of digits, then by digits, all turned about below zero
     below = F.col("wide").startswith("-")
     size, digits = F.coalesce(F.length("wide"), F.lit(0)), F.translate("wide", "0123456789", "9876543210")

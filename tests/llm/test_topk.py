@@ -105,3 +105,24 @@ def test_bounds_hold():
 def test_mixed_dimensions_with_few_rows(spark):
     rows = [(100, [1.0, 2.0]), (1, [3.0, 4.0]), (200, [1.0, 2.0, 3.0]), (300, [1.0]), (2, [5.0]), (3, [5.0]), (400, []), (4, []), (5, [])]
     assert result(spark, rows) == brute(rows, 10) and len(result(spark, rows)) == 5
+
+
+def test_copies_of_queries_are_bounded_and_not_broadcast(spark, monkeypatch):
+    """Lanes don't grow with the rows once there are so many rows to a query, and no query block is broadcast to them."""
+    rows, parts = topk.lanes_of(15_400_000, 154_000, 64)
+    assert rows * 154_000 <= 15_400_000 and parts == 3 and rows == topk.LANES
+    assert topk.lanes_of(10**6, 10**6, 64)[1] > 5 and topk.lanes_of(5, 1, 3) == (1, 1)
+    monkeypatch.setattr(topk, "ROWS", 16)
+    whole = topk.whole(spark.createDataFrame([(*r, "x") for r in vectors(450, 4)], "vec_id long, embedding array<float>, rank string"))
+    found = topk.top_k(whole, whole.where("vec_id % 100 = 0"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 32)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "HELD", 3000)
+    monkeypatch.setattr(topk, "LANES", 6)
+    rows = vectors(700, 5, 4) + [(100 * i, [float(i), 1e20, 0.0, 1.0, 2.0 * i]) for i in range(8, 12)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    assert topk.lanes_of(704, 11, 5)[1] > 1 and result(spark, rows) == brute(rows, 10)
