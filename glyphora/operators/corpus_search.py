@@ -47,15 +47,26 @@ class Dictionary:
 
     def __init__(self, signlist: dict[str, DataFrame]):
         self.s = signlist
+        self._known: dict[str, str] = {}
+        self._found: dict[tuple, Column | DataFrame] = {}
+
+    def _normalized(self, text: str) -> str:
+        """A text in normal form, looked up once; empty if the sign list lacks it."""
+        if text not in self._known:
+            known = encoder.normalized(self.s["composed"].sparkSession.createDataFrame([(text,)], "s string"), self.s["sign_map"]).first()
+            self._known[text] = known.glyphs if known else ""
+        return self._known[text]
 
     def _spec(self, rows: DataFrame, spec: str | None) -> DataFrame:
         if spec is None:
             return rows
-        known = encoder.normalized(rows.sparkSession.createDataFrame([(spec,)], "s string"), self.s["sign_map"]).first()
-        return rows.where(F.col("sign_spec") == (known.glyphs if known else ""))
+        return rows.where(F.col("sign_spec") == self._normalized(spec))
 
     def condition(self, leaf: Leaf) -> Column | plan.Lookup:
-        found = self._literal(leaf)
+        literal = leaf.kind, leaf.text, leaf.spec
+        if literal not in self._found:
+            self._found[literal] = self._literal(leaf)
+        found = self._found[literal]
         also = F.lit(True)
         if leaf.indicator:
             also = also & (F.col("phonographic") == (leaf.indicator == "P")) & (F.col("indicator_type") != "none")
@@ -71,8 +82,7 @@ class Dictionary:
             columns = ["value_id"] if leaf.spec is None else ["value_id", "sign_variant_id"]
             return names.where(like).select(*columns).distinct()
         if leaf.kind == "sign":
-            known = encoder.normalized(self.s["composed"].sparkSession.createDataFrame([(leaf.text,)], "s string"), self.s["sign_map"]).first()
-            rows = self._spec(self.s["signs_encoded"].where(F.col("sign") == (known.glyphs if known else "")), leaf.spec)
+            rows = self._spec(self.s["signs_encoded"].where(F.col("sign") == self._normalized(leaf.text)), leaf.spec)
             own = self.s["composed"].select("sign_id", "sign_variant_id")
             same = rows.select("sign_variant_id").join(own, "sign_variant_id").select("sign_id").distinct().join(own, "sign_id") if leaf.spec is None else rows
             return same.select("sign_variant_id").distinct()
@@ -106,8 +116,14 @@ class Dictionary:
 
 def search(rows: DataFrame, text: str, signlist: dict[str, DataFrame], keys: list[str] | None = None, aliases: bool = True) -> DataFrame:
     """keys (default transliteration_id), signs, words, lines, captures of a pattern over a `relation`; each match once. aliases: c j v stand for š ĝ ř."""
+    return search_all(rows, {"": text}, signlist, keys, aliases).drop("pattern")
+
+
+def search_all(rows: DataFrame, texts: dict[str, str], signlist: dict[str, DataFrame], keys: list[str] | None = None, aliases: bool = True) -> DataFrame:
+    """`search` of many patterns by name, which comes as the column pattern. The relation is read once for all, and what leaves share is looked up once."""
     words = Dictionary(signlist)
-    found = plan.matches(rows, branches(words.expanded(parse(text, aliases))), keys or [KEY], words.condition)
+    each = [(name, b) for name, text in texts.items() for b in branches(words.expanded(parse(text, aliases)))]
+    found = plan.matches(rows, [b for _, b in each], keys or [KEY], words.condition, names=[name for name, _ in each])
     flat = found.withColumn("captures", F.map_entries("captures")).distinct()
     return flat.withColumn("captures", F.when(F.col("captures").isNotNull(), F.map_from_entries("captures")))
 

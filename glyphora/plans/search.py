@@ -53,13 +53,16 @@ def _place(branch: Branch) -> tuple[list[int], dict[int, frozenset[str]]]:
 def _marked(relation: DataFrame, wanted: list[tuple[Leaf, frozenset[str]]], condition: Callable[[Leaf], Column | Lookup], kept: list[str]) -> DataFrame:
     """Rows that match any wanted leaf, and m0, m1, …: whether they match that one."""
     marks = {}
+    joined: dict[int, tuple[int, DataFrame]] = {}  # tables that are joined already
     for n, (leaf, must) in enumerate(wanted):
         is_it = condition(leaf)
         if isinstance(is_it, Lookup):
-            on = is_it.table.columns
-            found = is_it.table.select(*[F.col(c).alias(f"_{n}_{c}") for c in on], F.lit(True).alias(f"_{n}"))
-            relation = relation.join(found, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{n}_{c}") for c in on]), "left")
-            is_it = F.col(f"_{n}").isNotNull() & is_it.also
+            if id(is_it.table) not in joined:
+                joined[id(is_it.table)] = n, is_it.table
+                on = is_it.table.columns
+                found = is_it.table.select(*[F.col(c).alias(f"_{n}_{c}") for c in on], F.lit(True).alias(f"_{n}"))
+                relation = relation.join(found, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{n}_{c}") for c in on]), "left")
+            is_it = F.col(f"_{joined[id(is_it.table)][0]}").isNotNull() & is_it.also
         start = F.col("pos") == F.shiftleft(F.col("sign_no").cast("long"), 7)
         end = F.col("next_pos") == F.shiftleft(F.col("sign_no").cast("long") + 1, 7)
         for c in sorted(must):
@@ -100,10 +103,10 @@ def _branch(rows: DataFrame, branch: Branch, keys: list[str], marks: list[str],
     return out.select(*keys, *found, captures.cast("map<int,array<int>>").alias("captures"), *shown)
 
 
-def matches(relation: DataFrame, found: list[Branch], keys: list[str], condition: Callable[[Leaf], Column | Lookup], show: str | None = None) -> DataFrame:
+def matches(relation: DataFrame, found: list[Branch], keys: list[str], condition: Callable[[Leaf], Column | Lookup], show: str | None = None, names: list[str] | None = None) -> DataFrame:
     """keys; signs, words, lines: sorted distinct numbers of a match; captures: map of capture number -> sign numbers; shown: the column `show` of each leaf.
 
-    A way to match that two branches share comes once for each.
+    A way to match that two branches share comes once for each. names, one a branch, are given as the column pattern: many patterns read the relation once.
     """
     if any(leaf.kind == "edge" for b in found for leaf in b.leaves) and "starts_word" not in relation.columns:
         relation = with_edges(relation, keys)
@@ -115,7 +118,8 @@ def matches(relation: DataFrame, found: list[Branch], keys: list[str], condition
     rows = _marked(relation, list(wanted), condition, [*keys, *_NUMBERS, *([show] if show else [])])
     if sum(map(len, marks)) > 1:
         rows = materialized(rows, "candidates")
-    return reduce(DataFrame.unionByName, [_branch(rows, b, keys, m, show) for b, m in zip(found, marks, strict=True)])
+    ways = [_branch(rows, b, keys, m, show) for b, m in zip(found, marks, strict=True)]
+    return reduce(DataFrame.unionByName, ways if names is None else [w.select(F.lit(n).alias("pattern"), "*") for n, w in zip(names, ways, strict=True)])
 
 
 def search(relation: DataFrame, text: str, condition: Callable[[Leaf], Column | Lookup], keys: list[str] | None = None, aliases: bool = True, show: str | None = None) -> DataFrame:

@@ -59,3 +59,10 @@ def test_texts_are_read_once_and_without_a_shuffle(spark):
     marked = search._marked(rows, wanted, queries._words, ["tid", *search._NUMBERS])
     plan = marked._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Window" not in plan
+
+
+def test_many_patterns_read_the_relation_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(search, "materialized", lambda df, name, f=search.materialized: written.append(name) or f(df, name))
+    plan = queries.Q["search_leaves"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert written == ["candidates"] and plan.count("mapentries") <= 2
